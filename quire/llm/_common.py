@@ -94,9 +94,9 @@ def prefix_sum(
     task sorts a whole key. ``coarse`` must have a bounded number of values per key and order before ``order``.
     """
     base = f"__{out}_base"
-    cells = df.groupBy(*keys, coarse).agg(F.sum(value).alias("__cell"))
+    cells = df.groupBy(*keys, coarse).agg(F.sum(value).alias("__total"))
     before = Window.partitionBy(*keys).orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn(base, F.coalesce(F.sum("__cell").over(before), F.lit(0))).drop("__cell")
+    cells = cells.withColumn(base, F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
     within = Window.partitionBy(*keys, coarse).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     got = df.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
     return (
