@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, hilbert, line_dedup, mixing, ngram_join, packing, repetition
+from . import chunk_dedup, hilbert, language_id, licenses, line_dedup, mixing, ngram_join, packing, repetition
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(_t(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_t(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.duplicates(_t(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op7_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.coverage(_t(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_t(spark, sf_dir, "documents"))
+
+
 def op9_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_t(spark, sf_dir, "documents"))
 
@@ -41,10 +49,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_source_mix,
+    op3_language_id,
     op4_line_dedup,
     op5_hilbert_shards,
     op6_ngram_join,
     op7_repetition_coverage,
+    op8_license_scan,
     op9_window_packing,
     op10_substring_dedup,
 )
