@@ -15,7 +15,7 @@ other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,23 +110,37 @@ def plan(histogram: dict[int, int], grain: int = GRAIN, depth: int = DEPTH) -> l
     return out
 
 
-def items(docs: DataFrame, window: int, grain: int, id_col: str, text_col: str) -> DataFrame:
+def items(docs: DataFrame, window: int, grain: int, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
     """(doc_id, piece, tok_start, n_tokens, unit) of every piece; unit = length in grains, rounded up."""
     per = window // grain
+    got = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.words(F.col(text_col)).alias("n"), F.col(text_col).alias("whole"))
+    got = got.filter("n > 0")
+    if with_text:
+        # only texts of several pieces are split; a word keeps the white space after it
+        body = F.btrim("whole", F.lit(" \t\n\r\x0b\f"))
+        got = got.withColumn(
+            "parts", F.when(F.col("n") > window, F.split(body, f"(?<={C.SPACE})(?=[^ \\t\\n\\r\\x0B\\f])"))
+        )
+    got = got if with_text else got.drop("whole")
     return (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), C.words(F.col(text_col)).alias("n"))
-        .filter("n > 0")
+        got
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {window}"))))
         .select(
             "doc_id",
             "piece",
             (F.col("piece") * window).alias("tok_start"),
             F.least(F.lit(window).cast("long"), F.col("n") - F.col("piece") * window).alias("n_tokens"),
+            *([_piece_text(window)] if with_text else []),
         )
         .withColumn("unit", F.expr(f"cast((n_tokens + {per - 1}) div {per} as int)"))
     )
 
 
+def _piece_text(window: int) -> Column:
+    own = F.array_join(F.slice("parts", (F.col("piece") * window + 1).cast("int"), F.lit(window)), "")
+    return F.when(F.col("parts").isNull(), F.col("whole")).otherwise(F.rtrim(own, F.lit(" \t\n\r\x0b\f"))).alias("piece_text")
+
+
 def pack(
     docs: DataFrame,
     window: int = WINDOW,
@@ -134,16 +148,20 @@ def pack(
     depth: int = DEPTH,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_text: bool = False,
 ) -> DataFrame:
     """(pack_id, slot, doc_id, piece, tok_start, n_tokens): every piece of every text in one pack.
 
-    The lengths are read twice, for the histogram and for the ranks; no text is shuffled.
+    Lengths are counted once into a table and ranked from there, without their texts. ``with_text`` adds the piece's
+    own text (white space after its last word left out, all other kept) at the price of ranking texts along.
     """
     if window % grain:
         raise ValueError("the window must be a multiple of the grain")
     spark = docs.sparkSession
-    parts = C.cut(items(docs, window, grain, id_col, text_col))
-    hist = {r["unit"]: r["c"] for r in parts.groupBy("unit").agg(F.count(F.lit(1)).alias("c")).collect()}  # <= grain rows
+    parts = items(docs, window, grain, id_col, text_col, with_text)
+    if not with_text:
+        parts = C.cut(parts)
+    hist = {r["unit"]: r["c"] for r in parts.select("unit").groupBy("unit").agg(F.count(F.lit(1)).alias("c")).collect()}  # <= grain rows
     rows, base, used = [], 0, dict.fromkeys(hist, 0)
     for lengths, times in plan(hist, grain, depth):
         for u in sorted(set(lengths), reverse=True):
@@ -171,4 +189,5 @@ def pack(
         "piece",
         "tok_start",
         "n_tokens",
+        *(["piece_text"] if with_text else []),
     )

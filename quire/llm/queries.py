@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, hilbert, language_id, licenses, line_dedup, mixing, ngram_join, packing, repetition
+from . import chunk_dedup, hilbert, language_id, licenses, line_dedup, mixing, ngram_join, packing, repetition, transport
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(_t(spark, sf_dir, "documents"))
 
 
+def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a transport stream, read back; the payload itself stands behind its CRC."""
+    return transport.demux(transport.encode(_t(spark, sf_dir, "documents")), payload=False)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_t(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_source_mix,
+    op2_transport_streams,
     op3_language_id,
     op4_line_dedup,
     op5_hilbert_shards,
