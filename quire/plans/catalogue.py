@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import partial
 
-from quire.operators import quality
+from quire.operators import quality, structure, verify
 from quire.sources import relations
 
 from .registry import QUERIES, SPARK_ONLY, duck, run
 
-MODULES = (relations, quality)
+MODULES = (relations, quality, verify, structure)
 
 
 def queries() -> dict:

@@ -78,6 +78,9 @@ class Spark:
         """Elements ``first`` to ``last``, from 1, inclusive."""
         return f"slice({a}, cast({first} AS INT), cast(greatest(0, ({last}) - ({first}) + 1) AS INT))"
 
+    def amax(self, a: str) -> str:
+        return f"array_max({a})"
+
     def listagg(self, x: str, sep: str, order: str) -> str:
         return f"listagg({x}, {sep}) WITHIN GROUP (ORDER BY {order})"
 
@@ -172,6 +175,9 @@ class Duck(Spark):
     def slice(self, a: str, first: str, last: str) -> str:
         return f"({a})[{first}:{last}]"
 
+    def amax(self, a: str) -> str:
+        return f"list_max({a})"
+
     def listagg(self, x: str, sep: str, order: str) -> str:
         return f"string_agg({x}, {sep} ORDER BY {order})"
 
