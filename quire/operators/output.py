@@ -1,0 +1,118 @@
+"""Sinks and readers as projections: Markdown, JSON, chunk records, batch manifest, extraction payloads."""
+
+from __future__ import annotations
+
+from quire.functions import text as X
+from quire.functions.text import f
+from quire.plans.registry import query, relation
+
+
+@query
+def format_markdown(d):
+    """Blanks after heading marks, blank lines before headings, one bullet sign, and the confidence footer."""
+    nl = d.char(10)
+    s = d.sub("text", r"(?m)^(#{1,6})([^#\s])", "$1 $2")
+    s = d.sub(s, r"([^\n])\n(#{1,6} )", "$1@@QUIRE@@$2")
+    s = f"replace({s}, '@@QUIRE@@', concat({nl}, {nl}))"
+    s = d.sub(s, r"(?m)^[*•] ", "- ")
+    return f"SELECT doc_id, concat({s}, {nl}, {nl}, '---', {nl}, 'confidence ', cast(cast(round(100 * {X.score_page(d, 'text')}) AS BIGINT) AS VARCHAR(20)), '%') AS markdown FROM {{md_page}}"
+
+
+def _json_text(d, s: str) -> str:
+    s = d.sub(s, r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    b, q = d.char(92), d.char(34)
+    for code, to in ((92, f"concat({b}, {b})"), (34, f"concat({b}, {q})"), (10, f"concat({b}, 'n')"), (13, f"concat({b}, 'r')"), (9, f"concat({b}, 't')")):
+        s = f"replace({s}, {d.char(code)}, {to})"
+    return s
+
+
+@query
+def format_json(d):
+    """The locked page record, version 1.1.0."""
+    num = lambda x: f"cast({x} AS VARCHAR(20))"
+    page = f"""concat('{{"page":', {num('page_num + 1')}, ',"quality":"', quality, '","chars":', {num('chars')}, ',"text":"', {_json_text(d, 'text')}, '"}}')"""
+    pages = d.listagg(page, "','", "page_num")
+    return f"""SELECT file_id, concat('{{"schema_version":"1.1.0","page_count":', {num('count(*)')}, ',"pages":[', {pages}, ']}}') AS json FROM {{graded}} GROUP BY file_id"""
+
+
+@query
+def ndjson_events(d):
+    num = "cast(page_num + 1 AS VARCHAR(20))"
+    return f"""SELECT doc_id, concat('{{"type":"page","page":', {num}, ',"quality":"', quality, '"}}') AS line FROM {{graded}}"""
+
+
+@query
+def reader_records(d):
+    """Chunks as retrieval libraries take them: text and metadata."""
+    return "SELECT doc_id, chunk_index, md5(text) AS text_md5, concat('title=', title, ';pages=', cast(page_start AS VARCHAR(20)), '-', cast(page_end AS VARCHAR(20))) AS metadata FROM {section} WHERE text <> ''"
+
+
+@query
+def rag_file(d):
+    return f"SELECT doc_id, count(*) AS total_chunks, cast(sum({X_tokens(d)}) AS BIGINT) AS total_tokens FROM {{section}} WHERE text <> '' GROUP BY doc_id"
+
+
+def X_tokens(d) -> str:
+    from quire.operators.chunking import tokens
+
+    return tokens(d, "text")
+
+
+@relation
+def doc_state(d):
+    return f"SELECT file_id, sum(score * chars) / nullif(sum(chars), 0) AS confidence, bool_or(chars = 0) AS broken FROM {{scored}} GROUP BY file_id"
+
+
+@query
+def batch_manifest(d):
+    """Counts by confidence bucket, and the strict gate at 0.75."""
+    return f"""SELECT count(*) AS documents, count(*) FILTER (WHERE confidence >= {f(0.8)}) AS high, count(*) FILTER (WHERE confidence >= {f(0.5)} AND confidence < {f(0.8)}) AS medium, count(*) FILTER (WHERE confidence < {f(0.5)} OR confidence IS NULL) AS low,
+ count(*) FILTER (WHERE coalesce(confidence, 0) < {f(0.75)}) = 0 AS strict_ok FROM {{doc_state}}"""
+
+
+@query
+def batch_errors(d):
+    """A code for every text that a batch can't take, null for the others; none is dropped."""
+    return f"SELECT doc_id, CASE WHEN chars = 0 THEN 'EXTRACTION_ERROR' WHEN chars > 100000 THEN 'PDF_TOO_LARGE' WHEN score < {f(0.5)} THEN 'PARTIAL_EXTRACTION' END AS error_code FROM {{scored}}"
+
+
+@relation
+def payload(d):
+    """Extraction payloads in the shapes that engines emit: page objects, numbered keys, chunks, form feeds, a blob."""
+    a, b = _json_text(d, "substring(text, 1, 40)"), _json_text(d, "substring(text, 41, 40)")
+    return f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('{{"pages":[{{"page":1,"text":"', {a}, '"}},{{"page":2,"text":"', {b}, '"}}]}}') WHEN 1 THEN concat('{{"1":"', {a}, '","2":"', {b}, '"}}')
+ WHEN 2 THEN concat('{{"result":{{"chunks":[{{"page":0,"content":"', {a}, '"}},{{"page":1,"content":"', {b}, '"}}]}}}}') WHEN 3 THEN concat(substring(text, 1, 40), {d.char(12)}, substring(text, 41, 40)) ELSE text END AS body FROM {{page}}"""
+
+
+@query
+def parse_extraction(d):
+    """Pages out of payloads by sniffing their shape, with the hash of what was read."""
+    j = lambda *ks: "coalesce(" + ", ".join(d.json("body", k) for k in ks) + ")"
+    one = j("pages[0].text", "result.chunks[0].content", "1")
+    two = j("pages[1].text", "result.chunks[1].content", "2")
+    ff = d.split("body", d.char(12))
+    shape = f"CASE WHEN body LIKE '{{\"pages\"%' THEN 'pages' WHEN body LIKE '{{\"result\"%' THEN 'chunks' WHEN body LIKE '{{\"1\"%' THEN 'numbered' WHEN instr(body, {d.char(12)}) > 0 THEN 'form_feed' ELSE 'blob' END"
+    return f"""SELECT doc_id, shape, {d.sha256('body')} AS raw_sha256, CASE WHEN shape IN ('pages', 'chunks', 'numbered') THEN {one} WHEN shape = 'form_feed' THEN {d.at(ff, '0')} ELSE body END AS page_1,
+ CASE WHEN shape IN ('pages', 'chunks', 'numbered') THEN {two} WHEN shape = 'form_feed' THEN {d.at(ff, '1')} END AS page_2, shape <> 'blob' AS page_aligned FROM (SELECT doc_id, body, CASE WHEN doc_id % 5 IN (0, 1, 2) THEN {shape} WHEN instr(body, {d.char(12)}) > 0 THEN 'form_feed' ELSE 'blob' END AS shape FROM {{payload}}) AS s"""
+
+
+@query
+def pair_by_stem(d):
+    """Source files with the first extraction of the same stem."""
+    stem = lambda x: d.group(x, r"([^/]+?)(\.[a-z]+)?$", 1)
+    return f"""SELECT s.path AS source, min(e.path) AS extraction FROM (SELECT concat('in/', cast(doc_id AS VARCHAR(20)), '.pdf') AS path FROM {{page}}) AS s
+JOIN (SELECT concat('out/', cast(doc_id AS VARCHAR(20)), CASE WHEN doc_id % 2 = 0 THEN '.json' ELSE '.md' END) AS path FROM {{page}} WHERE doc_id % 3 <> 0) AS e ON {stem('s.path')} = {stem('e.path')} GROUP BY s.path"""
+
+
+@query
+def class_histogram(d):
+    """Shares of document kinds, as the directory sampler extrapolates them."""
+    return "SELECT kind, count(*) AS n, round(cast(count(*) AS DOUBLE) / max(total), 6) AS share FROM {doc_class} AS c CROSS JOIN (SELECT count(*) AS total FROM {doc_class}) AS t GROUP BY kind"
+
+
+@query
+def profile_settings(d):
+    """Explicit settings over the user's profile over the built-in one."""
+    built = d.values([("invoices", "standard", "json"), ("papers", "high", "llm"), ("receipts", "fast", "json")], ["profile", "quality", "format"])
+    user = d.values([("invoices", "high", None), ("papers", None, "markdown")], ["profile", "quality", "format"])
+    return f"SELECT b.profile, coalesce(u.quality, b.quality) AS quality, coalesce(u.format, b.format) AS format FROM {built} AS b LEFT JOIN {user} AS u ON b.profile = u.profile"

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import partial
 
-from quire.operators import quality, structure, verify
+from quire.operators import chunking, evaluation, geometry, output, quality, routing, structure, structured, verify
 from quire.sources import relations
 
 from .registry import QUERIES, SPARK_ONLY, duck, run
 
-MODULES = (relations, quality, verify, structure)
+MODULES = (relations, quality, verify, structure, structured, chunking, evaluation, routing, geometry, output)
 
 
 def queries() -> dict:
