@@ -6,6 +6,7 @@ common table expressions, in order; driver tables stay as they are. Any relation
 
 from __future__ import annotations
 
+import importlib
 import re
 from collections.abc import Callable
 
@@ -55,12 +56,19 @@ def statement(body: str, d: Spark, given: frozenset[str] = TABLES) -> str:
     return f"WITH {with_}\n{text}" if made else text
 
 
+def _load() -> None:
+    """Registration happens on import of the catalogue, which imports this module."""
+    importlib.import_module("quire.plans.catalogue")
+
+
 def run(name: str, spark: SparkSession, sf_dir: str | None = None, **relations: DataFrame) -> DataFrame:
     """A query over the driver's tables in ``sf_dir``, or over the given relations in their place."""
+    _load()
     return run_sql(QUERIES[name](SPARK), spark, sf_dir, **relations)
 
 
 def run_sql(body: str, spark: SparkSession, sf_dir: str | None = None, **relations: DataFrame) -> DataFrame:
+    _load()
     text = statement(body, SPARK, TABLES | frozenset(relations))
     used = [t for t in sorted(TABLES | set(relations)) if re.search(rf"\b{t}\b", text)]
     frames = {
