@@ -29,7 +29,7 @@ SHINGLE = 8
 BANDS = 10
 ROWS = 4
 THRESHOLD = 0.7
-_TRIM = rf"^{C.SPACE}+|{C.SPACE}+$"
+_SPACES = " \t\n\r\x0b\f"
 
 _SEEDS = C.mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _ADDS = C.mix(np.arange(1001, 1257, dtype=np.uint64)).astype(np.uint32)
@@ -82,22 +82,22 @@ def bands(lines: DataFrame, width: int, n_bands: int, rows: int) -> DataFrame:
 
 
 def jaccard(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
-    """Exact Jaccard similarity of the shingle sets of the lines of each pair."""
+    """Exact Jaccard similarity of the shingle sets of the lines of each pair.
+
+    Keys hold the pair's number above 44 bits of the shingle's hash, so one plain sort orders both at once.
+    """
     n = len(a)
-    salt = C.mix(np.arange(n, dtype=np.uint64))
-    sides = []
+    sides, sizes = [], []
     for col in (a, b):
         h, off = shingles(*C.codes(col), width)
-        rows = np.repeat(np.arange(n), np.diff(off))
-        keys = C.mix(h) ^ salt[rows]
-        at = np.argsort(keys, kind="stable")
-        s = keys[at]
-        first = np.concatenate([[True], s[1:] != s[:-1]])
-        sides.append((s[first], rows[at][first]))
-    both = np.isin(sides[0][0], sides[1][0], assume_unique=True)
-    inter = np.bincount(sides[0][1][both], minlength=n)
-    total = np.bincount(sides[0][1], minlength=n) + np.bincount(sides[1][1], minlength=n)
-    return inter / (total - inter)
+        keys = np.sort((np.repeat(np.arange(n, dtype=np.uint64), np.diff(off)) << np.uint64(44)) | (h >> np.uint64(20)))
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        sides.append(keys)
+        sizes.append(np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=n))
+    both = np.sort(np.concatenate(sides), kind="stable")
+    twice = both[1:][both[1:] == both[:-1]] >> np.uint64(44)
+    inter = np.bincount(twice.astype(np.int64), minlength=n)
+    return inter / (sizes[0] + sizes[1] - inter)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -120,7 +120,7 @@ def places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, line, h) of every non-blank line; the key of a line is a 64-bit hash of its text."""
     return (
         docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "raw"))
-        .withColumn("line", F.regexp_replace("raw", _TRIM, ""))
+        .withColumn("line", F.btrim("raw", F.lit(_SPACES)))
         .filter("line <> ''")
         .select("doc_id", "line_no", "line", F.xxhash64("line").alias("h"))
     )
@@ -153,8 +153,11 @@ def roots(
         .select("hs")
         .distinct()
     )
+    # texts of candidates only, so that the joins of the verification carry no others
+    nodes = buckets.select(F.explode("hs").alias("h")).distinct()
+    texts = C.cut(lines.select("h", "line").join(nodes, "h", "left_semi"))
     star = buckets.select(F.col("hs")[0].alias("a"), F.explode(F.slice("hs", 2, 1 << 30)).alias("b")).distinct()
-    edges = C.cut(verified(star, lines, width, threshold))
+    edges = C.cut(verified(star, texts, width, threshold))
     found = C.cut(C.components(edges))
     # what the stars left open: pairs of one bucket in different components
     open_ = (
@@ -174,7 +177,7 @@ def roots(
         .distinct()
         .join(star.select("a", "b"), ["a", "b"], "left_anti")
     )
-    more = C.cut(verified(rest, lines, width, threshold))
+    more = C.cut(verified(rest, texts, width, threshold))
     if not more.isEmpty():
         found = C.cut(C.components(edges.union(more)))
     return lines, found.withColumnRenamed("node", "h")
