@@ -122,10 +122,11 @@ def coverage(
     )
 
 
-def reject(docs: DataFrame, **how) -> DataFrame:
+def reject(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns; one pass, no shuffle."""
-    judged = coverage(docs, carry=tuple(docs.columns), **how)
-    return judged.filter("keep").select(*docs.columns)
+    whole = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.struct(*docs.columns).alias("row"))
+    judged = coverage(whole, id_col="i", text_col="t", carry=("row",), **how)
+    return judged.filter("keep").select("row.*")
 
 
 def sql(table: str = "documents", limits: dict[int, float] | None = None, line_share: float = MAX_LINE_SHARE) -> str:

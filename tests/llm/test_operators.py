@@ -1,0 +1,405 @@
+"""Each operator against brute force, a round trip or held-out labels."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import _common as C
+from quire.llm import chunk_dedup, hilbert, language_id, licenses, line_dedup, mixing, ngram_join, packing, queries, repetition, transport
+
+DOCS = "doc_id long, text string"
+
+
+def prose(rng: random.Random, n: int, vocab: int = 3000) -> list[str]:
+    return [f"w{min(int(rng.paretovariate(0.6)), vocab) + rng.randrange(40)}x" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_twin(name, spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got, want = queries.queries()[name](spark, sf).toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns) and len(got) > 0
+    a, b = (x[cols].astype(str).sort_values(cols).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(a, b)
+
+
+# ------------------------------------------------------------------ 1 mixing
+def test_prefixes_of_the_mix_are_close_to_the_weights(spark, documents):
+    weights = {"src0": 0.5, "src1": 0.3, "src2": 0.2}
+    got = mixing.schedule(documents, block_tokens=64, weights=weights).select("slot", "source", "block", "epoch").distinct().toPandas()
+    slots = got.sort_values("slot")
+    assert slots["slot"].tolist() == list(range(len(slots)))
+    for n in (10, 50, len(slots)):
+        head = slots.head(n)["source"].value_counts()
+        for s, w in weights.items():
+            assert abs(head.get(s, 0) - w * n) <= 3
+    for s in weights:  # each block once before any a second time
+        own = slots[slots["source"] == s].reset_index(drop=True)
+        blocks = own["block"].max() + 1
+        assert own["block"].tolist() == [i % blocks for i in range(len(own))]
+        assert own["epoch"].tolist() == [i // blocks for i in range(len(own))]
+
+
+def test_mix_covers_every_word_once_an_epoch(documents):
+    got = mixing.schedule(documents, block_tokens=128).filter("epoch = 0").toPandas()
+    n = {r["doc_id"]: r["n"] for r in documents.select("doc_id", C.words(F.col("text")).alias("n")).collect()}
+    have = defaultdict(list)
+    for d, a, b in zip(got["doc_id"], got["tok_start"], got["tok_end"], strict=True):
+        have[d].append((a, b))
+    for d, size in n.items():
+        at = 0
+        for a, b in sorted(have[d]):
+            assert a == at
+            at = b
+        assert at == size
+
+
+def test_applied_mix_follows_the_schedule(documents):
+    plan = mixing.schedule(documents, block_tokens=256)
+    begins = Counter(r["doc_id"] for r in plan.filter("tok_start = 0").collect())
+    got = Counter(r["doc_id"] for r in mixing.apply(documents, block_tokens=256).collect())
+    assert got == begins
+
+
+# ------------------------------------------------------------------ 2 transport streams
+def test_round_trip_of_units():
+    rng = random.Random(5)
+    for _ in range(120):
+        units = [rng.randbytes(rng.choice([0, 1, 150, 152, 153, 164, 165, 166, 183, 184, 185, 700])) for _ in range(rng.randrange(1, 7))]
+        data = transport.mux(units, b"meta")
+        rows = [r for r in transport.parse(data) if r[1] == 0x100]
+        assert [r[12] for r in rows] == units and all(r[10] for r in rows)
+        assert [r[4] for r in rows] == [7200 + 3600 * i for i in range(len(units))]
+        assert [r[5] for r in rows] == [3600 * i for i in range(len(units))]
+        assert [r[6] for r in rows] == [i % 8 == 0 for i in range(len(units))]
+        noisy = b"noise" * 9 + data[: 188 * 2] + b"xyz" + data[188 * 2 :]
+        assert [r[12] for r in transport.parse(noisy) if r[1] == 0x100] == units
+
+
+def test_lost_repeated_and_damaged_packets():
+    units = [b"a" * 1000, b"b" * 1000]
+    whole = transport.mux(units, b"m")
+    lost = [r for r in transport.parse(transport.mux(units, b"m", lose=2)) if r[1] == 0x100]
+    assert lost[0][9] == 1 and not lost[0][10] and lost[1][9] == 0 and lost[1][10]
+    packet = whole[188 * 4 : 188 * 5]
+    twice = whole[: 188 * 5] + packet + whole[188 * 5 :]
+    assert transport.parse(twice) == transport.parse(whole)
+    broken = bytearray(whole)
+    broken[188 + 10] ^= 255  # the program map's CRC no longer fits
+    assert transport.parse(bytes(broken)) == []
+    assert transport.parse(b"\x00" * 2000) == [] and transport.parse(None) == []
+
+
+def test_query_gives_back_every_line(spark, documents):
+    import zlib
+
+    got = transport.demux(transport.encode(documents)).filter("pid = 256 AND doc_id % 17 <> 3")
+    for r in got.select("doc_id", F.sort_array(F.collect_list(F.struct("unit", "payload")).over(_w())).alias("u")).distinct().limit(20).collect():
+        assert all(isinstance(x["unit"], int) for x in r["u"])
+    sums = {(r["doc_id"], r["unit"]): r["crc32"] for r in got.collect()}
+    for r in documents.filter("doc_id % 17 <> 3").collect():
+        for i, line in enumerate(r["text"].split("\n")):
+            assert sums[r["doc_id"], i] == zlib.crc32(line.encode())
+
+
+def _w():
+    from pyspark.sql.window import Window
+
+    return Window.partitionBy("doc_id")
+
+
+# ------------------------------------------------------------------ 3 language
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs.filter("doc_id % 2 = 0"), per_language=60)
+    got = language_id.predict(docs.filter("doc_id % 2 = 1"), model).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got["language"] == got["lang"]).mean() > 0.98
+    assert set(model["families"]) == {"germanic", "romance"}
+    short = language_id.predict(spark.createDataFrame([(1, "der die und"), (2, None), (3, "123 !")], DOCS), model).collect()
+    assert {r["doc_id"]: r["language"] for r in short if r["doc_id"] > 1} == {2: "und", 3: "und"}
+
+
+# ------------------------------------------------------------------ 4 lines
+def _jac(a: str, b: str, w: int = line_dedup.SHINGLE) -> float:
+    sets = [{s[i : i + w] for i in range(max(1, len(s) - w + 1))} for s in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(3)
+    base = [" ".join(prose(rng, rng.randrange(6, 30))) for _ in range(60)]
+    lines = list(base)
+    for s in base[:40]:
+        for _ in range(3):
+            w = s.split()
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(999)}"
+            lines.append(" ".join(w))
+    lines += base[:10]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    distinct = sorted(set(lines))
+    root = {s: s for s in distinct}
+
+    def find(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    true = [(a, b) for i, a in enumerate(distinct) for b in distinct[:i] if _jac(a, b) >= line_dedup.THRESHOLD]
+    for a, b in true:
+        root[find(a)] = find(b)
+    got = line_dedup.duplicates(df).toPandas()
+    place = {(d, i): s for d, t in enumerate(texts) for i, s in enumerate(t.split("\n"))}
+    comp = {place[d, i]: c for d, i, c in zip(got["doc_id"], got["line_no"], got["component"], strict=True)}
+    met = [comp.get(a) == comp.get(b) and a in comp for a, b in true]
+    assert len(true) > 50 and np.mean(met) >= 0.9
+    by = defaultdict(set)
+    for s, c in comp.items():
+        by[c].add(find(s))
+    assert all(len(v) == 1 for v in by.values())  # nothing joined that brute force keeps apart
+    assert got.groupby("component")["keep"].sum().eq(1).all()
+    firsts = got.groupby("component")[["doc_id", "line_no"]].apply(lambda g: min(map(tuple, g.values)))
+    kept = got[got["keep"]].set_index("component")[["doc_id", "line_no"]].apply(tuple, axis=1)
+    assert (firsts.sort_index() == kept.sort_index()).all()
+
+
+def test_jaccard_of_lines_is_exact():
+    a, b = ["same text here", "abc", "abcdefghijkl"], ["same text here", "abd", "abcdefghijkm"]
+    got = line_dedup.jaccard(pa.array(a), pa.array(b), 8)
+    assert got.tolist() == pytest.approx([_jac(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)]
+    root: dict[int, int] = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+# ------------------------------------------------------------------ 5 Hilbert
+def test_curve_is_a_walk_over_all_cells():
+    for dims, bits in ((2, 4), (3, 3)):
+        grid = np.array(np.meshgrid(*[range(1 << bits)] * dims)).reshape(dims, -1)
+        h = hilbert.curve_index(grid, bits)
+        assert sorted(h) == list(range(1 << dims * bits))
+        assert np.abs(np.diff(grid[:, np.argsort(h)], axis=1)).sum(axis=0).max() == 1
+
+
+def test_shards_prune_and_write(spark, documents, tmp_path):
+    got = hilbert.shards(documents, shard_rows=32).toPandas()
+    assert got["position"].tolist() != got["doc_id"].tolist()
+    assert got.groupby("shard").size().iloc[:-1].eq(32).all()
+    spread = got.groupby("shard")["x2"].agg(lambda s: s.max() - s.min()).mean()
+    assert spread < (got["x2"].max() - got["x2"].min()) * 0.8
+    hilbert.write(documents, str(tmp_path / "out"), shard_rows=32)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == documents.count()
+
+
+# ------------------------------------------------------------------ 6 n-gram join
+def _grams(t: str, n: int = ngram_join.N) -> frozenset:
+    w = t.split()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def test_join_against_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for size in (3, 5, 8, 12, 20, 40, 80, 160, 400, 1200):
+        for _ in range(6):
+            w = [f"v{rng.randrange(100_000)}" for _ in range(size)]
+            texts.append(w)
+            for rate in (0.02, 0.08, 0.15, 0.2, 0.3):
+                texts.append([x if rng.random() > rate else f"e{rng.randrange(100_000)}" for x in w])
+    texts = [" ".join(w) for w in texts] + [" ".join(texts[0]), "one", "one", ""]
+    sets = [_grams(t) for t in texts]
+    least: dict[frozenset, int] = {}
+    for i, s in enumerate(sets):
+        least.setdefault(s, i)
+    true = {
+        (a, b)
+        for a in least.values()
+        for b in least.values()
+        if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= ngram_join.THRESHOLD * len(sets[a] | sets[b])
+    }
+    got = ngram_join.join(spark.createDataFrame(list(enumerate(texts)), DOCS)).toPandas()
+    near = {(a, b) for a, b, j in got.itertuples(index=False) if j < 1}
+    assert near <= true
+    assert len(near & true) >= 0.9 * len(true) and len(true) > 300
+    edge = {(a, b) for a, b in true if len(sets[a] & sets[b]) < 0.58 * len(sets[a] | sets[b])}
+    assert len(near & edge) >= 0.9 * len(edge) and len(edge) > 20
+    for a, b, j in got.itertuples(index=False):
+        assert j == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
+
+
+# ------------------------------------------------------------------ 7 repetition
+def _measure(t: str, n: int) -> int:
+    w = t.split()
+    seen, inside = set(), set()
+    for i in range(len(w) - n + 1):
+        g = tuple(w[i : i + n])
+        if g in seen:
+            inside |= set(range(i, i + n))
+        seen.add(g)
+    return sum(len(w[i]) for i in inside)
+
+
+def test_repetition_against_brute_force():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("ab cd ef gh".split()) for _ in range(rng.randrange(0, 60))) for _ in range(80)]
+    texts += ["", "x", "a b c d e " * 9, "l one\nl two\n l one \n\nl one"]
+    got = repetition.measure(*C.codes(pa.array(texts)), (5, 7, 10))
+    for i, t in enumerate(texts):
+        assert got["word_chars"][i] == sum(map(len, t.split()))
+        for n in (5, 7, 10):
+            assert got[f"ngram{n}"][i] == _measure(t, n)
+        lines = [x.strip() for x in t.split("\n") if x.strip()]
+        assert got["dup_line_chars"][i] == sum(len(x) for k, x in enumerate(lines) if x in lines[:k])
+
+
+# ------------------------------------------------------------------ 8 licenses
+def test_licenses_against_brute_force(spark, documents):
+    rng = random.Random(8)
+    rows = []
+    names = sorted(licenses.TEMPLATES)
+    for i in range(120):
+        w = prose(rng, rng.randrange(0, 200))
+        at = rng.randrange(len(w) + 1)
+        name = names[i % len(names)] if i % 3 else None
+        rows.append((i, " ".join(w[:at] + (licenses.TEMPLATES[name][1].upper().split() if name else []) + w[at:]), name))
+    got = licenses.scan(spark.createDataFrame(rows, DOCS + ", want string")).toPandas()
+    hits = set(zip(got["doc_id"], got["template"], strict=True))
+    want = {(i, n) for i, _, n in rows if n}
+    assert len(hits & want) >= 0.97 * len(want)
+    assert {i for i, _ in hits} <= {i for i, _ in want}
+    assert got["containment"].between(licenses.CONTAINMENT, 1).all()
+    found = {(r["doc_id"]) for r in licenses.scan(documents).filter("license = 'MIT'").collect()}
+    assert found == {r["doc_id"] for r in documents.filter("text LIKE '%Released under the MIT License.%'").collect()}
+
+
+def test_band_settings_guarantee_retrieval():
+    # a window of 2t words that holds 0.8 of a template's t - 1 pairs, at its worst
+    for t in (6, 12, 48):
+        both, union = 0.8 * (t - 1), (2 * t - 1) + 0.2 * (t - 1)
+        assert 1 - (1 - (both / union) ** licenses.ROWS) ** licenses.BANDS > 0.985
+
+
+# ------------------------------------------------------------------ 9 packing
+def test_plan_uses_up_the_histogram():
+    rng = random.Random(4)
+    for _ in range(15):
+        hist = {u: rng.choice([0, 1, 5, 80, 3000]) for u in range(1, 65)}
+        used: Counter = Counter()
+        packs = 0
+        for parts, times in packing.plan(hist):
+            assert sum(parts) <= 64 and times > 0
+            packs += times
+            for p in parts:
+                used[p] += times
+        assert used == Counter({u: c for u, c in hist.items() if c})
+        assert packs >= -(-sum(u * c for u, c in hist.items()) // 64)
+
+
+def test_nnls_against_projected_gradient():
+    rng = np.random.default_rng(0)
+    a, b = rng.random((20, 30)), rng.random(20)
+    x = packing.nnls(a, b)
+    y = np.zeros(30)
+    for _ in range(60_000):
+        y = np.maximum(0, y - (a.T @ (a @ y - b)) / np.linalg.norm(a.T @ a))
+    assert (x >= 0).all() and np.linalg.norm(a @ x - b) <= np.linalg.norm(a @ y - b) + 1e-6
+
+
+def test_packs_hold_every_word_once(documents):
+    got = packing.pack(documents, window=512, with_text=True).toPandas()
+    assert got.groupby("pack_id")["n_tokens"].sum().max() <= 512
+    assert not got.duplicated(["pack_id", "slot"]).any() and not got.duplicated(["doc_id", "piece"]).any()
+    whole = got.sort_values("piece").groupby("doc_id")["piece_text"].apply(lambda s: " ".join(s).split())
+    for r in documents.collect():
+        assert whole[r["doc_id"]] == r["text"].split()
+    fill = got["n_tokens"].sum() / (got["pack_id"].nunique() * 512)
+    assert fill > 0.9
+
+
+# ------------------------------------------------------------------ 10 chunks
+def test_cuts_resist_insertions():
+    rng = random.Random(6)
+    t = " ".join(prose(rng, 900))
+    cuts = lambda s: {s[a:b] for _, a, b in zip(*chunk_dedup.chunk(*C.codes(pa.array([s])), 24, 1000), strict=True)}
+    a, b = cuts(t), cuts(t[:2000] + "INSERTED" + t[2000:])
+    assert len(a & b) >= len(a) - 3
+    doc, start, end = chunk_dedup.chunk(*C.codes(pa.array([t, "", t])), 24, 1000)
+    assert "".join((t + t)[x:y] for x, y in zip(start, end, strict=True)) == t + t and set(doc) == {0, 2}
+    gear = chunk_dedup.gear(np.arange(50, 90, dtype=np.uint32))
+    assert gear[30] == sum(int(chunk_dedup._GEAR[50 + 30 - j]) << j for j in range(16)) % (1 << 32)
+
+
+def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
+    rng = random.Random(7)
+    passages = [" ".join(prose(rng, 55)) for _ in range(30)]
+    rows, want = [], {}
+    for i in range(150):
+        w = prose(rng, 300)
+        if i < 90:
+            at = rng.randrange(300)
+            w[at:at] = passages[i % 30].split()
+            want[i] = i % 30
+        rows.append((i, " ".join(w)))
+    got = chunk_dedup.spans(spark.createDataFrame(rows, DOCS)).toPandas()
+    hit = set(got["doc_id"])
+    assert hit <= set(want) and len(hit) >= 0.95 * len(want)
+    text = dict(rows)
+    for d, a, b in zip(got["doc_id"], got["start"], got["end"], strict=True):
+        piece = re.sub(r"^\S*\s|\s\S*$", "", text[d][a:b])
+        assert piece in passages[want[d]]
+
+
+# ------------------------------------------------------------------ pipeline
+def test_pipeline_end_to_end(spark, sf, documents):
+    import corpus_pipeline
+
+    seen, docs = {}, documents
+    for name, f in corpus_pipeline.STAGES:
+        docs = C.cut(f(spark, docs, sf))
+        seen[name] = docs
+    keep = {r["doc_id"] for r in repetition.coverage(documents).filter("keep").collect()}
+    assert {r["doc_id"] for r in seen["quality_rules"].collect()} == keep
+    lines = [x.strip() for r in seen["line_dedup"].collect() for x in r["text"].split("\n") if x.strip()]
+    assert len(lines) == len(set(lines))
+    texts = [r["text"] for r in seen["ngram_jaccard"].collect()]
+    sets = [_grams(t) for t in texts]
+    close = sum(1 for i, a in enumerate(sets) for b in sets[:i] if a and len(a & b) >= 0.6 * len(a | b))
+    assert close == 0
+    assert {r["doc_id"] for r in seen["source_mix"].collect()} == {r["doc_id"] for r in seen["ngram_jaccard"].collect()}
+    words = sum(len(r["text"].split()) for r in seen["source_mix"].collect())
+    assert seen["packing"].agg(F.sum("n_tokens")).first()[0] == words
+    ran = corpus_pipeline.run(spark, sf)
+    assert sorted(map(str, ran.drop("pack_id", "slot").collect())) == sorted(map(str, seen["packing"].drop("pack_id", "slot").collect()))
