@@ -35,7 +35,7 @@ def score_page(d: Spark, text: str, images: str = "0") -> str:
     n = f"length({t})"
     alpha = f"cast({letters(d, ns)} AS DOUBLE) / length({ns})"
     mean = f"cast(length({ns}) AS DOUBLE) / {d.size(d.split_re(t, d.ws + '+'))}"
-    moji = d.count(text, r"â€|Ã©|Ã¨|â€™|ï¿½")
+    moji = d.count(text, r"ï¿½|Ã[¨©]|â€")
     gaps = d.count(text, r"  {5,}")
     score = (
         f"{f(1.0)}"

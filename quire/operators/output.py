@@ -12,8 +12,8 @@ def format_markdown(d):
     """Blanks after heading marks, blank lines before headings, one bullet sign, and the confidence footer."""
     nl = d.char(10)
     s = d.sub("text", r"(?m)^(#{1,6})([^#\s])", "$1 $2")
-    s = d.sub(s, r"([^\n])\n(#{1,6} )", "$1@@QUIRE@@$2")
-    s = f"replace({s}, '@@QUIRE@@', concat({nl}, {nl}))"
+    s = d.sub(s, r"([^\n]\n)(#+ )", "$1@@QUIRE@@$2")
+    s = f"replace({s}, '@@QUIRE@@', {nl})"
     s = d.sub(s, r"(?m)^[*•] ", "- ")
     return f"SELECT doc_id, concat({s}, {nl}, {nl}, '---', {nl}, 'confidence ', cast(cast(round(100 * {X.score_page(d, 'text')}) AS BIGINT) AS VARCHAR(20)), '%') AS markdown FROM {{md_page}}"
 

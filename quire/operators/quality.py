@@ -180,7 +180,7 @@ def llm_score(d):
             any_(d.has("x", r"^\s*([-*+]|\d+\.)\s")),
             any_(d.has("x", r"\|.*\|")),
             f"CASE WHEN {d.size(d.filter(X.lines(d, t), d.has('x', chr(94) + chr(92) + 's*$')))} >= 2 THEN 1 ELSE 0 END",
-            f"CASE WHEN {d.has(t, r'\*\*[^*]+\*\*|\*[^*]+\*|__[^_]+__|_[^_]+_')} THEN 1 ELSE 0 END",
+            f"CASE WHEN {d.has(t, r'[*][^*]+[*]')} OR {d.has(t, '_[^_]+_')} THEN 1 ELSE 0 END",
         ]
     )
     fill = f"cast(length({X.strip(d, t)}) AS DOUBLE) / 1250"

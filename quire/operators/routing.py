@@ -19,7 +19,7 @@ CHAINS = {
     "academic": ("mk odl pm", "mk odl llm pm", "mk llm odl pm"),
     "default": ("pm", "odl pm", "llm odl pm"),
 }
-COST = {"pymupdf": 0.0, "opendataloader": 0.0, "docling": 0.0, "rapidocr": 0.0, "surya": 0.0, "marker": 0.0, "mistral_ocr": 0.002, "llm": 0.01}
+COST = dict.fromkeys(("docling", "marker", "opendataloader", "pymupdf", "rapidocr", "surya"), 0.0) | {"llm": 0.01, "mistral_ocr": 0.002}
 #: extractor -> estimated quality by page type; 0.5 where none is given
 QUALITY = {
     "docling": {"mixed": 0.8, "tables": 0.92, "digital": 0.9},

@@ -83,8 +83,9 @@ def head_text(d):
     return f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat({runs}, text) WHEN 1 THEN concat('# Retrofitting and', {nl}, '# lower start', {nl}, '## 1234', {nl}, text) ELSE text END AS text FROM {{md_page}}"
 
 
-FALSE_HEADING = r"(?i)^#{1,6}\s+((figure|table|fig\.)\s+\d|(january|february|march|april|may|june|july|august|september|october|november|december)\s+\d|\d{2,5}\s*$|.*=\s*\d|\d{2,5}\s+\S.{30,})"
-DANGLING = r"(?i)([,;:&–—-]|\b(and|or|to|of|the|a|an|with|for|from|into|than))\s*$"
+_MONTH = "jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sept(ember)?|oct(ober)?|nov(ember)?|dec(ember)?"
+FALSE_HEADING = r"(?i)^#{1,6}\s+(.*=\s*\d|(table|fig(ure|\.))\s+\d|(" + _MONTH + r")\s+\d|\d{2,5}(\s*$|\s+\S.{30,}))"
+DANGLING = r"(?i)(\b(a|an|and|for|from|into|of|or|than|the|to|with)|[-–—&:;,])\s*$"
 
 
 @relation
@@ -112,12 +113,15 @@ def heading_saturation(d):
     return f"SELECT doc_id, count(*) FILTER (WHERE head) AS headings, count(*) FILTER (WHERE solid) AS content, count(*) FILTER (WHERE head) >= 6 AND count(*) FILTER (WHERE head) >= {f(0.5)} * count(*) FILTER (WHERE solid) AS saturated FROM {{head_line}} GROUP BY doc_id"
 
 
+BOLD_LINE = r"^[*]{2}(.{3,60})[*]{2}$"
+
+
 @query
 def bold_promotion(d):
     """A line that is nothing but bold text of 3 to 60 characters, after a blank line, becomes a heading."""
-    new = f"concat('# ', {d.group('line', r'^\*\*(.{3,60})\*\*$')})"
+    new = f"concat('# ', {d.group('line', BOLD_LINE)})"
     rel = d.explode(f"(SELECT doc_id, concat('**Opening**', {d.char(10)}, {d.char(10)}, '**Scope of work**', {d.char(10)}, text) AS text FROM {{md_page}}) AS m", "doc_id", X.lines(d, "text"), "line", "pos")
-    return f"""SELECT doc_id, pos, CASE WHEN {d.has('line', r'^\*\*.{3,60}\*\*$')} AND (prev IS NULL OR prev = '') THEN {new} ELSE line END AS line
+    return f"""SELECT doc_id, pos, CASE WHEN {d.has('line', BOLD_LINE)} AND (prev IS NULL OR prev = '') THEN {new} ELSE line END AS line
 FROM (SELECT doc_id, pos, line, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM {rel} AS e) AS l"""
 
 

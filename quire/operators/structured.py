@@ -82,7 +82,7 @@ def date(d, s: str, year: int = 2026) -> str:
     )
 
 
-CURRENCY = r"(?i)(AED|USD|EUR|GBP|INR|SAR|QAR|BHD|KWD|OMR|Dhs|Rs|£|\$|€|¥)\s*"
+CURRENCY = r"(?i)(AED|BHD|Dhs|EUR|GBP|INR|KWD|OMR|QAR|Rs|SAR|USD|[$£¥€])\s*"
 
 
 def currency(d, s: str) -> str:
@@ -93,7 +93,7 @@ def currency(d, s: str) -> str:
 def _number(d, s: str) -> str:
     c = d.sub(d.sub(d.sub(s, CURRENCY), r"(?i)\b(debit|credit|dr|cr|d|c)\b\.?"), r"[()]")
     c = d.sub(c, r"^[ \t+-]+|[ \t+-]+$")
-    return f"CASE WHEN {d.has(c, r'^\d{1,3}(\.\d{3})+(,\d{2})?$')} THEN replace(replace({c}, '.', ''), ',', '.') ELSE replace({c}, ',', '') END"
+    return f"CASE WHEN {d.has(c, r'^[0-9]{1,3}([.][0-9]{3})+(,[0-9]{2})?$')} THEN replace(replace({c}, '.', ''), ',', '.') ELSE replace({c}, ',', '') END"
 
 
 def amount(d, s: str) -> str:

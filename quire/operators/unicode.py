@@ -81,17 +81,20 @@ def fuzzy_fields(keys: DataFrame, fields: list[str], least: float = 0.6) -> Data
     return keys.select("key").distinct().mapInPandas(run, "key string, field string, ratio double")
 
 
+_HEAD = re.compile(r"(#+)\s+(.*)")
+
+
 def merge_headings(lines: list[str]) -> list[str]:
     """A heading of at most ten characters that is no number joins the heading after it; pairs don't overlap."""
     out, i = [], 0
     while i < len(lines):
-        a = re.match(r"(#{1,6})\s+(.*)", lines[i])
+        a = _HEAD.match(lines[i])
         j = i + 1
         while a and j < len(lines) and not lines[j].strip():
             j += 1
-        b = re.match(r"#{1,6}\s+(.*)", lines[j]) if a and j < len(lines) else None
+        b = _HEAD.match(lines[j]) if a and j < len(lines) else None
         if b and len(a[2].strip()) <= 10 and not re.fullmatch(r"[\d.\s]+", a[2]):
-            out.append(f"{a[1]} {a[2].strip()} {b[1].strip()}")
+            out.append(f"{a[1]} {a[2].strip()} {b[2].strip()}")
             i = j + 1
         else:
             out.append(lines[i])

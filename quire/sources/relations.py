@@ -97,7 +97,7 @@ def chat(d):
 def box(d):
     """Page geometry made from line items: one box an item on its order's page of 600 x 800 points."""
     return (
-        "SELECT l_orderkey AS page_id, l_linenumber AS box_id, cast((l_partkey % 3) * 210 + l_suppkey % 40 AS DOUBLE) AS x0,"
+        "SELECT l_orderkey AS page_id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS BIGINT) AS box_id, cast((l_partkey % 3) * 210 + l_suppkey % 40 AS DOUBLE) AS x0,"
         " cast(l_linenumber * 90 + l_partkey % 50 AS DOUBLE) AS y0, cast((l_partkey % 3) * 210 + l_suppkey % 40 + 120 + l_quantity AS DOUBLE) AS x1,"
         " cast(l_linenumber * 90 + l_partkey % 50 + 60 AS DOUBLE) AS y1, CASE WHEN l_suppkey % 5 = 0 THEN 'table' WHEN l_suppkey % 5 = 1 THEN 'image' ELSE 'text' END AS kind FROM lineitem"
     )
