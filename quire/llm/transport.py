@@ -55,7 +55,7 @@ def crc_mpeg(data: bytes) -> int:
     return c
 
 
-# ------------------------------------------------------------------ reading
+# ~~ reading
 def packets(data: bytes) -> np.ndarray:
     """(n, 188) packets; what lies between packets that keep the sync byte is skipped."""
     raw = np.frombuffer(data, np.uint8)
@@ -215,7 +215,7 @@ def demux(media: DataFrame, id_col: str = "doc_id", data_col: str = "ts", payloa
     return read.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-# ------------------------------------------------------------------ writing
+# ~~ writing
 def _section(table: int, number: int, body: bytes) -> bytes:
     head = bytes([table, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 255, number >> 8, number & 255, 0xC1, 0, 0])
     return head + body + crc_mpeg(head + body).to_bytes(4, "big")

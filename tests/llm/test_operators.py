@@ -38,7 +38,7 @@ def test_sql_twin(name, spark, sf):
     pd.testing.assert_frame_equal(a, b)
 
 
-# ------------------------------------------------------------------ 1 mixing
+# ~~ 1 mixing
 def test_prefixes_of_the_mix_are_close_to_the_weights(spark, documents):
     weights = {"src0": 0.5, "src1": 0.3, "src2": 0.2}
     got = mixing.schedule(documents, block_tokens=64, weights=weights).select("slot", "source", "block", "epoch").distinct().toPandas()
@@ -76,7 +76,7 @@ def test_applied_mix_follows_the_schedule(documents):
     assert got == begins
 
 
-# ------------------------------------------------------------------ 2 transport streams
+# ~~ 2 transport streams
 def test_round_trip_of_units():
     rng = random.Random(5)
     for _ in range(120):
@@ -123,7 +123,7 @@ def _w():
     return Window.partitionBy("doc_id")
 
 
-# ------------------------------------------------------------------ 3 language
+# ~~ 3 language
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs.filter("doc_id % 2 = 0"), per_language=60)
@@ -134,7 +134,7 @@ def test_held_out_accuracy(spark):
     assert {r["doc_id"]: r["language"] for r in short if r["doc_id"] > 1} == {2: "und", 3: "und"}
 
 
-# ------------------------------------------------------------------ 4 lines
+# ~~ 4 lines
 def _jac(a: str, b: str, w: int = line_dedup.SHINGLE) -> float:
     sets = [{s[i : i + w] for i in range(max(1, len(s) - w + 1))} for s in (a, b)]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
@@ -204,7 +204,7 @@ def test_components_against_union_find(spark):
     assert got == {x: find(x) for x in root}
 
 
-# ------------------------------------------------------------------ 5 Hilbert
+# ~~ 5 Hilbert
 def test_curve_is_a_walk_over_all_cells():
     for dims, bits in ((2, 4), (3, 3)):
         grid = np.array(np.meshgrid(*[range(1 << bits)] * dims)).reshape(dims, -1)
@@ -223,7 +223,7 @@ def test_shards_prune_and_write(spark, documents, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == documents.count()
 
 
-# ------------------------------------------------------------------ 6 n-gram join
+# ~~ 6 n-gram join
 def _grams(t: str, n: int = ngram_join.N) -> frozenset:
     w = t.split()
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
@@ -259,7 +259,7 @@ def test_join_against_brute_force(spark):
         assert j == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
 
 
-# ------------------------------------------------------------------ 7 repetition
+# ~~ 7 repetition
 def _measure(t: str, n: int) -> int:
     w = t.split()
     seen, inside = set(), set()
@@ -284,7 +284,7 @@ def test_repetition_against_brute_force():
         assert got["dup_line_chars"][i] == sum(len(x) for k, x in enumerate(lines) if x in lines[:k])
 
 
-# ------------------------------------------------------------------ 8 licenses
+# ~~ 8 licenses
 def test_licenses_against_brute_force(spark, documents):
     rng = random.Random(8)
     rows = []
@@ -311,7 +311,7 @@ def test_band_settings_guarantee_retrieval():
         assert 1 - (1 - (both / union) ** licenses.ROWS) ** licenses.BANDS > 0.985
 
 
-# ------------------------------------------------------------------ 9 packing
+# ~~ 9 packing
 def test_plan_uses_up_the_histogram():
     rng = random.Random(4)
     for _ in range(15):
@@ -348,7 +348,7 @@ def test_packs_hold_every_word_once(documents):
     assert fill > 0.9
 
 
-# ------------------------------------------------------------------ 10 chunks
+# ~~ 10 chunks
 def test_cuts_resist_insertions():
     rng = random.Random(6)
     t = " ".join(prose(rng, 900))
@@ -382,7 +382,7 @@ def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
         assert len(inner) >= 10 and " ".join(inner) in passages[want[d]]
 
 
-# ------------------------------------------------------------------ pipeline
+# ~~ pipeline
 def test_pipeline_end_to_end(spark, sf, documents):
     import corpus_pipeline
 
