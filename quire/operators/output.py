@@ -116,3 +116,45 @@ def profile_settings(d):
     built = d.values([("invoices", "standard", "json"), ("papers", "high", "llm"), ("receipts", "fast", "json")], ["profile", "quality", "format"])
     user = d.values([("invoices", "high", None), ("papers", None, "markdown")], ["profile", "quality", "format"])
     return f"SELECT b.profile, coalesce(u.quality, b.quality) AS quality, coalesce(u.format, b.format) AS format FROM {built} AS b LEFT JOIN {user} AS u ON b.profile = u.profile"
+
+
+@query
+def raw_fallback(d):
+    """Near-empty readings give way to a longer raw text."""
+    n = f"length({X.strip(d, 'e.text')})"
+    return f"SELECT p.doc_id, {n} < 50 AND length(p.text) > length(e.text) AS raw, md5(CASE WHEN {n} < 50 AND length(p.text) > length(e.text) THEN p.text ELSE e.text END) AS text_md5 FROM {{page}} AS p JOIN {{ext_page}} AS e ON p.doc_id = e.doc_id"
+
+
+@query
+def separator_pages(d):
+    """A whole document's Markdown split at rule lines into pages; if their number isn't the expected one, a single page."""
+    nl = d.char(10)
+    body = d.listagg("replace(text, '---', '-')", f"'{chr(10)}{chr(10)}---{chr(10)}{chr(10)}'", "page_num")
+    parts = d.split_re("body", r"\n\n---\n\n")
+    split = d.explode(f"(SELECT file_id, {parts} AS parts FROM (SELECT file_id, {body} AS body, count(*) AS n, file_id % 5 = 1 AS odd FROM {{page}} GROUP BY file_id) AS b WHERE NOT odd AND {d.size(parts)} = n) AS s", "file_id", "parts", "part", "page_num")
+    return f"""SELECT file_id, page_num, cast(length(part) AS BIGINT) AS n_chars, md5(part) AS text_md5 FROM {split} AS e
+UNION ALL SELECT file_id, 0, cast(length(body) AS BIGINT), md5(body) FROM (SELECT file_id, {d.listagg("replace(text, '---', '-')", nl, 'page_num')} AS body FROM {{page}} GROUP BY file_id) AS w WHERE file_id % 5 = 1"""
+
+
+@query
+def cells_to_table(d):
+    """Single cells (row, column, text) put back into pipe rows; rows with under 0.3 of their cells filled go."""
+    cells = d.explode("(SELECT doc_id, block, pos, cells FROM {table_row} WHERE NOT separator) AS r", "doc_id, block, pos", "cells", "cell", "col")
+    return f"SELECT doc_id, pos, concat('| ', {d.listagg('cell', chr(39) + ' | ' + chr(39), 'col')}, ' |') AS line FROM {cells} AS c GROUP BY doc_id, pos HAVING cast(count(*) FILTER (WHERE cell <> '') AS DOUBLE) / count(*) >= {f(0.3)}"
+
+
+@query
+def ocr_cell_grid(d):
+    """Recognised boxes to a grid: rows part at gaps over 25 points, columns at gaps over 80; grids of two columns and
+    two rows or more with half of the cells filled."""
+    rows = "SELECT page_id, box_id, x0, y0, CASE WHEN y0 - lag(y0) OVER (PARTITION BY page_id ORDER BY y0, box_id) > 25 THEN 1 ELSE 0 END AS rb, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page_id ORDER BY x0, box_id) > 80 THEN 1 ELSE 0 END AS cb FROM {box} WHERE kind = 'text'"
+    grid = f"SELECT page_id, box_id, sum(rb) OVER (PARTITION BY page_id ORDER BY y0, box_id ROWS UNBOUNDED PRECEDING) AS r, sum(cb) OVER (PARTITION BY page_id ORDER BY x0, box_id ROWS UNBOUNDED PRECEDING) AS c FROM ({rows}) AS g"
+    return f"""SELECT page_id, n_rows, n_cols, round(cast(filled AS DOUBLE) / (n_rows * n_cols), 6) AS fill FROM (SELECT page_id, cast(max(r) + 1 AS BIGINT) AS n_rows, cast(max(c) + 1 AS BIGINT) AS n_cols, count(DISTINCT r * 1000 + c) AS filled FROM ({grid}) AS h GROUP BY page_id) AS k
+WHERE n_rows >= 2 AND n_cols >= 2 AND filled >= {f(0.5)} * n_rows * n_cols"""
+
+
+@query
+def provider_resolve(d):
+    """Model providers by name: built in, then configured, then plugged in; the later source wins."""
+    rows = [("gemini", "builtin", 1, "gemini-flash"), ("claude", "builtin", 1, "claude-sonnet"), ("gemini", "config", 2, "gemini-pro"), ("local", "config", 2, "local"), ("local", "plugin", 3, "local")]
+    return f"SELECT name, origin, model FROM (SELECT name, origin, model, row_number() OVER (PARTITION BY name ORDER BY rank DESC) AS r FROM {d.values(rows, ['name', 'origin', 'rank', 'model'])} AS p) AS z WHERE r = 1"

@@ -148,11 +148,12 @@ def auto_normalize(d):
     """A tagged value by key and value hints: rate before amount before date, else the text itself."""
     k = "lower(key)"
     hint = lambda p: d.has(k, p)
-    r = f"({hint('rate|^apr$')} OR {d.has('value', '%')}) AND {rate(d, 'value')} IS NOT NULL"
-    a = f"{hint('amount|balance|total|fee|charge|payment|limit|^tax$|^subtotal$')} AND {amount(d, 'value')} IS NOT NULL"
-    t = f"({hint('date')} OR {k} IN ('from', 'to', 'period', 'issued', 'expiry')) AND {date(d, 'value')} IS NOT NULL"
-    return f"""SELECT doc_id, key, kind, CASE kind WHEN 'rate' THEN {rate(d, 'value')} WHEN 'amount' THEN {amount(d, 'value')} END AS number, CASE kind WHEN 'date' THEN {date(d, 'value')} WHEN 'raw' THEN value END AS text
-FROM (SELECT doc_id, key, value, CASE WHEN {r} THEN 'rate' WHEN {a} THEN 'amount' WHEN {t} THEN 'date' ELSE 'raw' END AS kind FROM {{kv}}) AS k"""
+    r = f"{hint('rate|^apr$')} OR {d.has('value', '%')}"
+    a = hint("amount|balance|total|fee|charge|payment|limit|^tax$|^subtotal$")
+    t = f"{hint('date')} OR {k} IN ('from', 'to', 'period', 'issued', 'expiry')"
+    # each reading is made once, and only where the hints ask for it
+    return f"""SELECT doc_id, key, CASE WHEN r IS NOT NULL THEN 'rate' WHEN a IS NOT NULL THEN 'amount' WHEN t IS NOT NULL THEN 'date' ELSE 'raw' END AS kind, coalesce(r, a) AS number,
+ CASE WHEN r IS NULL AND a IS NULL THEN coalesce(t, value) END AS text FROM (SELECT doc_id, key, value, CASE WHEN {r} THEN {rate(d, 'value')} END AS r, CASE WHEN {a} THEN {amount(d, 'value')} END AS a, CASE WHEN {t} THEN {date(d, 'value')} END AS t FROM {{kv}}) AS k"""
 
 
 @query

@@ -207,3 +207,16 @@ def test_entry_without_optional_parts(spark, sf, monkeypatch):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert not [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_loaders(spark, tmp_path):
+    from quire.sources import loaders
+
+    (tmp_path / "a.csv").write_text('File,Output\nx/one.pdf,"text, with comma"\n')
+    assert loaders.read_extractions(spark, str(tmp_path / "a.csv")).collect() == [("one.pdf", "text, with comma")]
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        loaders.read_extractions(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "tables").mkdir()
+    (tmp_path / "tables" / "doc.gt.md").write_text("# truth")
+    assert loaders.ground_truth(spark, str(tmp_path)).collect() == [("tables", "doc", "# truth")]
