@@ -89,10 +89,14 @@ class Spark:
         return f"array_sort(collect_list({x}))"
 
     def explode(self, rel: str, cols: str, array: str, as_: str, pos: str | None = None) -> str:
-        """``cols``, one element (and its place from 0) of ``array`` a row."""
+        """``cols``, one element (and its place from 0) of ``array`` a row; null elements go.
+
+        An outer view with a filter behind it: for an inner one the optimizer repeats the array's expression in
+        inferred filters (not null, not empty), which for regular expressions costs more than the rows it saves.
+        """
         if pos:
-            return f"(SELECT {cols}, cast({pos} AS BIGINT) AS {pos}, {as_} FROM {rel} LATERAL VIEW posexplode({array}) AS {pos}, {as_})"
-        return f"(SELECT {cols}, {as_} FROM {rel} LATERAL VIEW explode({array}) AS {as_})"
+            return f"(SELECT {cols}, cast({pos} AS BIGINT) AS {pos}, {as_} FROM {rel} LATERAL VIEW OUTER posexplode({array}) AS {pos}, {as_} WHERE {as_} IS NOT NULL)"
+        return f"(SELECT {cols}, {as_} FROM {rel} LATERAL VIEW OUTER explode({array}) AS {as_} WHERE {as_} IS NOT NULL)"
 
     def series(self, a: str, b: str) -> str:
         return f"sequence(cast({a} AS BIGINT), cast({b} AS BIGINT))"
