@@ -25,7 +25,7 @@ U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 
 
-# ------------------------------------------------------------------ shared storage
+# ~~ shared storage
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's folder for cut tables: ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -57,6 +57,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """Like ``cut``, but bucketed by ``key``: later joins and groupings on it don't shuffle the table again."""
+    spark = df.sparkSession
+    name = f"quire_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    _PATHS.append((spark, path))
+    return spark.table(name)
+
+
 def drop_cut(df: DataFrame) -> None:
     path = getattr(df, "_cut_path", None)
     if path:
@@ -79,7 +90,7 @@ def cleanup() -> None:
             return
 
 
-# ------------------------------------------------------------------ columns
+# ~~ columns
 def words(text: Column) -> Column:
     """Number of white-space separated words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r\x0B\f]+")), F.lit(0)).cast("long")
@@ -106,7 +117,7 @@ def prefix_sum(
     )
 
 
-# ------------------------------------------------------------------ distributed union-find
+# ~~ distributed union-find
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the least node of the component.
 
@@ -155,7 +166,7 @@ def _mark(df: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-# ------------------------------------------------------------------ text as arrays
+# ~~ text as arrays
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows whose texts have about ``limit`` bytes together."""
     n = batch.num_rows

@@ -136,14 +136,18 @@ def roots(
     threshold: float = THRESHOLD,
 ) -> tuple[DataFrame, DataFrame]:
     """(distinct lines with their first place and count, (h, root) of lines similar to others)."""
-    lines = C.cut(
+    # repartitioned first, so that the grouping, the table's buckets and the joins below share one shuffle of the texts
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = C.cut_by(
         places(docs, id_col, text_col)
+        .repartition(n, "h")
         .groupBy("h")
         .agg(
             F.min("line").alias("line"),
             F.min(F.struct("doc_id", "line_no")).alias("first"),
             F.count(F.lit(1)).alias("copies"),
-        )
+        ),
+        "h",
     )
     buckets = C.cut(
         bands(lines, width, n_bands, rows)
