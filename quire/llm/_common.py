@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ _BASE = U64(0x9E3779B97F4A7C15)
 
 
 # ~~ shared storage
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's folder for cut tables: ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,6 +47,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go as soon as the table stands: nothing reads them again, and a table in
+    shared storage doesn't need them for recovery."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in shared storage and read it back: later stages survive lost executors.
 
@@ -50,7 +69,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     _PATHS.append((spark, path))
@@ -63,7 +83,8 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
     name = f"quire_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    with _shuffles_dropped(spark):
+        df.write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
     _PATHS.append((spark, path))
     return spark.table(name)
 
