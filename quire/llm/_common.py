@@ -106,6 +106,7 @@ def cleanup() -> None:
         if getattr(spark.sparkContext, "_jsc", None) is None:
             continue
         try:
+            spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[-1].replace('-', '_')}")
             remove(spark, path)
         except Exception:  # noqa: BLE001 - the gateway may already be gone at interpreter exit
             return
