@@ -259,6 +259,27 @@ def test_join_against_brute_force(spark):
         assert j == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
 
 
+def test_join_leaves_out_no_pair(spark):
+    """Truncated copies at the threshold, and texts of 15 to 60 n-grams."""
+    rng = random.Random(12)
+    texts = []
+    for size in (4, 15, 16, 18, 24, 32, 46, 60, 127, 260, 900):
+        for _ in range(8):
+            w = [f"v{rng.randrange(100_000)}" for _ in range(size + 1)]
+            texts += [w, w[: size // 2 + 1 + size % 2], w[size // 3 :]]
+            for _ in range(3):
+                e = list(w)
+                for at in rng.sample(range(size + 1), max(1, size // 6)):
+                    e[at] = f"e{rng.randrange(100_000)}"
+                texts.append(e)
+    sets = [_grams(" ".join(w)) for w in texts]
+    n = len(sets)
+    assert len(set(sets)) == n
+    true = {(a, b) for a in range(n) for b in range(a + 1, n) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    got = ngram_join.join(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], DOCS)).toPandas()
+    assert set(zip(got["doc_a"], got["doc_b"], strict=True)) == true and len(true) > 500
+
+
 # ~~ 7 repetition
 def _measure(t: str, n: int) -> int:
     w = t.split()
