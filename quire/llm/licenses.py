@@ -1,12 +1,14 @@
 """License scans: MinHash bands over overlapping windows of words retrieve templates, exact containment verifies.
 
 Words are lower-cased and stripped of outer ASCII punctuation. A template of t words is looked for in windows of
-twice its class's length at half-window steps, so each occurrence lies in one window whole. Where a window holds at
+2 t words at steps of t, so each occurrence lies in one window whole. Where a window holds at
 least ``CONTAINMENT`` of a template's word pairs, the Jaccard similarity of the two sets is at least 0.36; with 36
-bands of 2 rows such a window collides with the template with probability 0.99. A window that shares no word pair
-with any template of its class can't contain one and is not hashed. Retrieved pairs are verified on the sets
+bands of 2 rows such a window collides with the template with probability 0.99. A length whose templates repeat word
+pairs, or a lower share, takes as many bands more as that needs. A window with fewer places of the
+word pairs of the templates of that length than the share needs can't contain one and is not hashed. Retrieved pairs are verified on the sets
 themselves: the share of the template's word pairs that the window holds. In one window only the templates of the
-largest share count, so a notice isn't also taken for a sister licence that differs in a word.
+largest share count, so a notice isn't also taken for a sister licence of the same length that differs in a word; a
+longer text that holds a shorter template gives both. Templates have no greatest length.
 
 Cases: null, empty and one-word texts match nothing; a text shorter than the window is one window; a template of one
 word has that word as its only shingle and is an error; ties between windows of one template go to the first; rows
@@ -48,8 +50,9 @@ TEMPLATES: dict[str, tuple[str, str]] = {
     "bsd-clause": ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
 }
 
-_CLASSES = (6, 12, 24, 48, 96, 192, 384)
-_SEEDS = C.mix(np.arange(1, 513, dtype=np.uint64) + np.uint64(99))
+#: Windows of one length are laid out in blocks of about this many word pairs; one longer window is a block by itself.
+_BLOCK = 1 << 18
+_SEEDS = C.mix(np.arange(1, 4097, dtype=np.uint64) + np.uint64(99))
 _PUNCT = np.zeros(128, bool)
 _PUNCT[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
@@ -82,49 +85,67 @@ def signature(sets: np.ndarray, valid: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """Templates by window class, with their shingles and signatures."""
+    """Templates by length in words, with their shingles and signatures."""
 
-    def __init__(self, templates: Mapping[str, tuple[str, str]], bands: int, rows: int):
-        self.bands, self.rows = bands, rows
+    def __init__(self, templates: Mapping[str, tuple[str, str]], bands: int, rows: int, least: float = CONTAINMENT):
+        self.rows = rows
+        self.bands: dict[int, int] = {}
         self.classes: dict[int, list[tuple[str, str, np.ndarray, np.ndarray]]] = {}
         for name, (spdx, text) in sorted(templates.items()):
             h, _, _ = scan_words(*C.codes(pa.array([text.lower()])))
             if len(h) < 2:
                 raise ValueError(f"template {name} needs two words")
-            if len(h) > _CLASSES[-1]:
-                raise ValueError(f"template {name} has more than {_CLASSES[-1]} words")
             shingles = np.unique(_pairs(h))
-            sig = signature(shingles[None, :], np.ones((1, len(shingles)), bool), bands * rows)[0]
-            size = next(c for c in _CLASSES if len(h) <= c)
-            self.classes.setdefault(size, []).append((name, spdx, shingles, sig))
+            both = np.ceil(least * len(shingles) - 1e-9)
+            worst = (both / (2 * len(h) - 1 + len(shingles) - both)) ** rows
+            many = min(len(_SEEDS) // rows, int(np.ceil(np.log(0.012) / np.log1p(-worst)))) if 0 < worst < 1 else 1
+            self.bands[len(h)] = max(bands, many, self.bands.get(len(h), 0))
+            self.classes.setdefault(len(h), []).append((name, spdx, shingles))
+        for size, held in self.classes.items():
+            k = self.bands[size] * rows
+            self.classes[size] = [(*x, signature(x[2][None, :], np.ones((1, len(x[2])), bool), k)[0]) for x in held]
+        held = [np.unique(np.concatenate([x[2] for x in c])) for _, c in sorted(self.classes.items())]
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]))
+        self.of = np.array([np.isin(self.pairs, x) for x in held], bool).reshape(len(held), len(self.pairs))
 
     def matches(self, cp: np.ndarray, off: np.ndarray, least: float) -> list[tuple[int, str, str, float, int, int]]:
         """(text, name, spdx, containment, first word of the best window, windows) of every template in every text."""
         h, doc, place = scan_words(cp, off)
         best: dict[tuple[int, str], list] = {}
-        if len(h) < 2:
+        if len(h) < 2 or not self.classes:
             return []
         g = _pairs(h)
         inside = doc[1:] == doc[:-1]
         number = np.arange(len(h)) - np.searchsorted(doc, doc, side="left")
-        for step, held in sorted(self.classes.items()):
-            wide = 2 * step
-            hit = np.flatnonzero(inside & np.isin(g, np.concatenate([x[2] for x in held])))
+        end = np.searchsorted(doc, doc, side="right") - 1
+        at = np.minimum(np.searchsorted(self.pairs, g), len(self.pairs) - 1)
+        known = np.flatnonzero(inside & (self.pairs[at] == g))
+        for kind, (step, held) in enumerate(sorted(self.classes.items())):
+            wide, bands = 2 * step, self.bands[step]
+            hit = known[self.of[kind, at[known]]]
             if not len(hit):
                 continue
             base, win = hit - number[hit], number[hit] // step
             starts = np.unique(np.concatenate([base + win * step, base + np.maximum(win - 1, 0) * step]))
-            cols = starts[:, None] + np.arange(wide - 1)[None, :]
-            ok = cols < len(g)
-            cols = np.minimum(cols, len(g) - 1)
-            ok &= inside[cols] & (doc[cols] == doc[starts][:, None])
-            sets = g[cols]
-            sig = signature(sets, ok, self.bands * self.rows).reshape(len(starts), self.bands, self.rows)
+            # places of known pairs in each window, which no template's share can exceed
+            places = np.searchsorted(hit, np.minimum(starts + wide - 1, end[starts])) - np.searchsorted(hit, starts)
+            starts = starts[places >= least * min(len(x[2]) for x in held) - 1e-9]
             shares = np.zeros((len(held), len(starts)))
-            for t, (_, _, shingles, own) in enumerate(held):
-                near = (sig == own.reshape(1, self.bands, self.rows)).all(axis=2).any(axis=1)
-                for r in np.flatnonzero(near):
-                    shares[t, r] = np.isin(shingles, sets[r][ok[r]]).mean()
+            rows = max(1, _BLOCK // wide)
+            for lo in range(0, len(starts), rows):
+                part = starts[lo : lo + rows]
+                cols = part[:, None] + np.arange(wide - 1)[None, :]
+                ok = cols < len(g)
+                cols = np.minimum(cols, len(g) - 1)
+                ok &= inside[cols] & (doc[cols] == doc[part][:, None])
+                sets = g[cols]
+                sig = signature(sets, ok, bands * self.rows).reshape(len(part), bands, self.rows)
+                for t, (_, _, shingles, own) in enumerate(held):
+                    near = (sig == own.reshape(1, bands, self.rows)).all(axis=2).any(axis=1)
+                    for r in np.flatnonzero(near):
+                        shares[t, lo + r] = np.isin(shingles, sets[r][ok[r]]).mean()
+            if not len(starts):
+                continue
             shares[(shares < least) | (shares < shares.max(axis=0))] = 0
             for t, (name, spdx, _, _) in enumerate(held):
                 for r in np.flatnonzero(shares[t]):
@@ -147,7 +168,7 @@ def scan(
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, template, license, containment, word_start, n_windows); one pass, no shuffle."""
-    index = Index(TEMPLATES if templates is None else templates, bands, rows)
+    index = Index(TEMPLATES if templates is None else templates, bands, rows, containment)
     read = docs.select(F.col(id_col).alias("__id"), F.lower(F.col(text_col)).alias("__text"))
     schema = T.StructType(
         [

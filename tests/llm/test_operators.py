@@ -369,6 +369,33 @@ def test_packs_hold_every_word_once(documents):
     assert fill > 0.9
 
 
+def test_retrieval_of_every_template_in_its_own_windows():
+    """The lowest probability over the registered templates, for a window that holds 0.8 of one and nothing else known."""
+    index = licenses.Index(licenses.TEMPLATES, licenses.BANDS, licenses.ROWS)
+    for step, held in index.classes.items():
+        for name, _, shingles, _ in held:
+            n = len(shingles)
+            both = int(np.ceil(0.8 * n))
+            j = both / (2 * step - 1 + n - both)
+            assert 1 - (1 - j**licenses.ROWS) ** index.bands[step] > 0.985, name
+
+
+def test_exact_and_near_copies_of_every_template(spark):
+    rng = random.Random(9)
+    rows, want = [], []
+    for name in sorted(licenses.TEMPLATES):
+        for k in range(10):
+            w = licenses.TEMPLATES[name][1].split()
+            if k >= 5 and len(w) > 10:
+                w[len(w) - 1] = "other"
+            rows.append((len(rows), " ".join(prose(rng, rng.randrange(3, 90)) + w + prose(rng, 60))))
+            want.append(name)
+    got = licenses.scan(spark.createDataFrame(rows, DOCS)).toPandas()
+    hits = set(zip(got["doc_id"], got["template"], strict=True))
+    missed = [n for i, n in enumerate(want) if (i, n) not in hits]
+    assert len(missed) <= 0.03 * len(want)
+
+
 # ~~ 10 chunks
 def test_cuts_resist_insertions():
     rng = random.Random(6)
