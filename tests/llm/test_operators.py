@@ -394,6 +394,7 @@ def test_exact_and_near_copies_of_every_template(spark):
     hits = set(zip(got["doc_id"], got["template"], strict=True))
     missed = [n for i, n in enumerate(want) if (i, n) not in hits]
     assert len(missed) <= 0.03 * len(want)
+    assert {"mit-text", "gpl3-text", "apache-header", "isc-text"} <= {n for _, n in hits}
 
 
 # ~~ 10 chunks
