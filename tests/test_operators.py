@@ -220,3 +220,10 @@ def test_loaders(spark, tmp_path):
     (tmp_path / "tables").mkdir()
     (tmp_path / "tables" / "doc.gt.md").write_text("# truth")
     assert loaders.ground_truth(spark, str(tmp_path)).collect() == [("tables", "doc", "# truth")]
+
+
+def test_accuracy_is_edit_distance_up_to_5000_characters(spark):
+    pairs = [(1, "b a " * 500, "a b " * 500), (2, "b a " * 1300, "a b " * 1300)]
+    pair = spark.createDataFrame(pairs, "doc_id long, got string, truth string")
+    got = {r["doc_id"]: r["text_accuracy"] for r in run("text_accuracy", spark, md_pair=pair).collect()}
+    assert 0.9 < got[1] < 1 and got[2] == 1
