@@ -79,9 +79,11 @@ def batch_errors(d):
 @relation
 def payload(d):
     """Extraction payloads in the shapes that engines emit: page objects, numbered keys, chunks, form feeds, a blob."""
-    a, b = _json_text(d, "substring(text, 1, 40)"), _json_text(d, "substring(text, 41, 40)")
+    half = "cast(floor((length(text) + 1) / 2) AS INT)"
+    first, second = f"substring(text, 1, {half})", f"substring(text, {half} + 1)"
+    a, b = _json_text(d, first), _json_text(d, second)
     return f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('{{"pages":[{{"page":1,"text":"', {a}, '"}},{{"page":2,"text":"', {b}, '"}}]}}') WHEN 1 THEN concat('{{"1":"', {a}, '","2":"', {b}, '"}}')
- WHEN 2 THEN concat('{{"result":{{"chunks":[{{"page":0,"content":"', {a}, '"}},{{"page":1,"content":"', {b}, '"}}]}}}}') WHEN 3 THEN concat(substring(text, 1, 40), {d.char(12)}, substring(text, 41, 40)) ELSE text END AS body FROM {{page}}"""
+ WHEN 2 THEN concat('{{"result":{{"chunks":[{{"page":0,"content":"', {a}, '"}},{{"page":1,"content":"', {b}, '"}}]}}}}') WHEN 3 THEN concat({first}, {d.char(12)}, {second}) ELSE text END AS body FROM {{page}}"""
 
 
 @query
@@ -93,7 +95,7 @@ def parse_extraction(d):
     ff = d.split("body", d.char(12))
     shape = f"CASE WHEN body LIKE '{{\"pages\"%' THEN 'pages' WHEN body LIKE '{{\"result\"%' THEN 'chunks' WHEN body LIKE '{{\"1\"%' THEN 'numbered' WHEN instr(body, {d.char(12)}) > 0 THEN 'form_feed' ELSE 'blob' END"
     return f"""SELECT doc_id, shape, {d.sha256('body')} AS raw_sha256, CASE WHEN shape IN ('pages', 'chunks', 'numbered') THEN {one} WHEN shape = 'form_feed' THEN {d.at(ff, '0')} ELSE body END AS page_1,
- CASE WHEN shape IN ('pages', 'chunks', 'numbered') THEN {two} WHEN shape = 'form_feed' THEN {d.at(ff, '1')} END AS page_2, shape <> 'blob' AS page_aligned FROM (SELECT doc_id, body, CASE WHEN doc_id % 5 IN (0, 1, 2) THEN {shape} WHEN instr(body, {d.char(12)}) > 0 THEN 'form_feed' ELSE 'blob' END AS shape FROM {{payload}}) AS s"""
+ CASE WHEN shape IN ('pages', 'chunks', 'numbered') THEN {two} WHEN shape = 'form_feed' THEN {d.at(ff, '1')} END AS page_2, shape <> 'blob' AS page_aligned FROM (SELECT doc_id, body, {shape} AS shape FROM {{payload}}) AS s"""
 
 
 @query

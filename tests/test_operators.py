@@ -222,6 +222,14 @@ def test_loaders(spark, tmp_path):
     assert loaders.ground_truth(spark, str(tmp_path)).collect() == [("tables", "doc", "# truth")]
 
 
+def test_parsed_payloads_hold_whole_texts(spark):
+    text = "".join(f'line {i} with a "quote" and a \\\\ sign\n' for i in range(20)) + "end"
+    page = spark.createDataFrame([(i, text) for i in range(4)] + [(9, '{"1":"one","2":"two"}')], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in run("parse_extraction", spark, page=page).collect()}
+    assert all(got[i]["page_1"] + got[i]["page_2"] == text for i in range(4))
+    assert got[9]["shape"] == "numbered" and got[9]["page_2"] == "two"
+
+
 def test_accuracy_is_edit_distance_up_to_5000_characters(spark):
     pairs = [(1, "b a " * 500, "a b " * 500), (2, "b a " * 1300, "a b " * 1300)]
     pair = spark.createDataFrame(pairs, "doc_id long, got string, truth string")
