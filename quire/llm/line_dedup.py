@@ -8,7 +8,8 @@ are verified, so no candidate is left out and none whose answer is settled is pa
 
 Cases: null texts have no lines; empty or blank lines are no lines and stay in the text; a line shorter than the
 shingle is one shingle; equal lines, also of one document, are one component; ties between places go to the least
-(doc_id, line_no); repeated rows with one id share their places and are all kept or all dropped; an empty table gives
+(doc_id, line_no); equal rows with one id share their places and are all kept or all dropped, and
+``apply`` takes different texts under one id, or without id, for different rows; an empty table gives
 an empty result; other columns of the input are passed through by ``apply`` and not read by ``components``.
 """
 
@@ -219,13 +220,15 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", **how) -> DataFrame:
     """``docs`` without the lines that ``duplicates`` drops. Rows left without any line go, except rows that had no
     line before; ``size_col`` is counted anew where a text changed."""
+    # a row's own key, so that rows that share an id, or have none, lose their own lines only; the order by id stays
+    keyed = docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
     drop = (
-        duplicates(docs, id_col, text_col, **how)
+        duplicates(keyed, "__row", text_col, **how)
         .filter("NOT keep")
-        .groupBy(F.col(id_col).alias("__key"))
+        .groupBy(F.col("__row").alias("__key"))
         .agg(F.collect_set("line_no").alias("__drop"))
     )
-    got = docs.join(drop, F.col(id_col).eqNullSafe(F.col("__key")), "left")
+    got = keyed.join(drop, F.col("__row").eqNullSafe(F.col("__key")), "left")
     kept = F.filter(
         F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
         lambda s: ~F.array_contains("__drop", s["i"]),

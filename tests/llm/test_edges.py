@@ -97,3 +97,11 @@ def test_defined_results(docs):
     assert sorted(r["position"] for r in shards) == list(range(len(ROWS)))
     # nulls are the least values: n_chars has two of them, lang too
     assert {r["x2"] for r in shards if r["doc_id"] == 2} == {0}
+
+
+def test_rows_lose_only_their_own_lines(spark):
+    rows = [(None, "first line here\nfirst line here"), (None, "another one\nquite different"), (3, "aa bb cc\naa bb cc"), (3, "zz yy xx\nww vv uu")]
+    got = line_dedup.apply(spark.createDataFrame(rows, "doc_id long, text string"), size_col=None).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [
+        (0, "another one\nquite different"), (0, "first line here"), (3, "aa bb cc"), (3, "zz yy xx\nww vv uu")
+    ]
