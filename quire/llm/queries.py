@@ -16,8 +16,8 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a transport stream, read back; the payload itself stands behind its CRC."""
-    return transport.demux(transport.encode(_t(spark, sf_dir, "documents")), payload=False)
+    """Every document as a transport stream, read back with its payload."""
+    return transport.demux(transport.encode(_t(spark, sf_dir, "documents"), lossy=False))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

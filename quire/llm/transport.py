@@ -271,9 +271,15 @@ def mux(units: list[bytes], meta: bytes = b"", lose: int | None = None) -> bytes
 
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(id, ts): the stream of every text, a line to an access unit. Ids that leave 3 modulo 17 lose one packet,
-    so that continuity errors occur."""
+def encode(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    meta_cols: tuple[str, ...] = ("lang", "source"),
+    lossy: bool = True,
+) -> DataFrame:
+    """(id, ts): the stream of every text, a line to an access unit. If ``lossy``, ids that leave 3 modulo 17 lose one
+    packet, so that continuity errors occur."""
     read = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.concat_ws("/", *meta_cols).alias("meta")
     )
@@ -284,7 +290,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta
                 b = whole.slice(at, 256)
                 out = []
                 for i, text, meta in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    lose = i if i is not None and i % 17 == 3 else None
+                    lose = i if lossy and i is not None and i % 17 == 3 else None
                     out.append(None if text is None else mux([x.encode() for x in text.split("\n")], meta.encode(), lose))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "ts"])
 

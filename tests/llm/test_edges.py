@@ -105,3 +105,15 @@ def test_rows_lose_only_their_own_lines(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [
         (0, "another one\nquite different"), (0, "first line here"), (3, "aa bb cc"), (3, "zz yy xx\nww vv uu")
     ]
+
+
+def test_registered_transport_query_gives_payloads(spark, sf):
+    from quire.llm import queries
+
+    got = queries.op2_transport_streams(spark, sf)
+    assert "payload" in got.columns
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    back = {}
+    for r in got.filter("pid = 256").collect():
+        back.setdefault(r["doc_id"], {})[r["unit"]] = bytes(r["payload"]).decode()
+    assert all("\n".join(back[d][i] for i in sorted(back[d])) == t for d, t in text.items() if t)
