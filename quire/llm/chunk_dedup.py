@@ -2,13 +2,12 @@
 
 A cut stands after each character where the gear hash of the ``WINDOW`` characters up to it falls below a limit, so
 a text's cuts depend on nothing farther away, and shifts from insertions die out after one chunk. Equal chunks meet
-by a 64-bit digest that covers the chunk's length. Runs of touching chunks that other documents have too make the
-spans of the result.
+by a 64-bit digest that covers the chunk's length. Runs of touching chunks that stand in another place too, of the
+same document or of another, make the spans of the result.
 
 Cases: null and empty texts have no chunks; a text without a cut is one chunk up to ``MAX_CHUNK`` characters, and
-longer runs without a cut are cut every ``MAX_CHUNK``; rows that share an id count as one document, and so do rows
-whose id is null; what repeats only inside one document is no span (that is the repetition rules' business); an
-empty table gives an empty result; other columns aren't read.
+longer runs without a cut are cut every ``MAX_CHUNK``; rows that share an id, or have none, are different
+places, ordered by a hash of the text; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -58,16 +57,24 @@ def chunk(cp: np.ndarray, off: np.ndarray, mean: int, most: int) -> tuple[np.nda
     return np.searchsorted(off, start, side="right") - 1, start, end
 
 
+def _row(text_col: str) -> Column:
+    """A key of the input row: 40 bits of its text's hash, so that the order of rows is the texts' own, and 24 that tell
+    rows with equal texts apart."""
+    low = F.lit((1 << 24) - 1)
+    return F.xxhash64(text_col).bitwiseAND(F.lit(-(1 << 24))).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(low))
+
+
 def chunks(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN_CHUNK, most: int = MAX_CHUNK
 ) -> DataFrame:
-    """(id, loc, digest) of every chunk; loc is start * 1024 + length, in characters."""
+    """(id, row, loc, digest) of every chunk; row is a key of the input row, loc is start * 1024 + length, in characters."""
     if most > 1023:
         raise ValueError("a chunk's length must fit in ten bits")
-    read = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    read = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), _row(text_col).alias("__row"))
     schema = T.StructType(
         [
             T.StructField("id", read.schema["__id"].dataType),
+            T.StructField("row", T.LongType()),
             T.StructField("loc", T.LongType()),
             T.StructField("digest", T.LongType()),
         ]
@@ -81,8 +88,9 @@ def chunks(
                 h = C.rolling(C.mix(cp.astype(np.uint64) + np.uint64(1)), start, end)
                 h = C.mix(h ^ (end - start).astype(np.uint64)).view(np.int64)
                 loc = (start - off[doc]) * 1024 + (end - start)
+                at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(doc)), pa.array(loc, pa.int64()), pa.array(h)], names=schema.names
+                    [b.column(0).take(at), b.column(2).take(at), pa.array(loc, pa.int64()), pa.array(h)], names=schema.names
                 )
 
     return read.mapInArrow(run, schema)
@@ -95,34 +103,39 @@ def spans(
     min_chars: int = MIN_CHARS,
     mean: int = MEAN_CHUNK,
 ) -> DataFrame:
-    """Passages that documents share, one row for each place: id, start, end (characters), n_chars, n_chunks,
-    repeat_chars (those whose first place, by id and start, is elsewhere; to be cut out), first_id and copies.
+    """Passages that stand more than once, one row for each place: id, start, end (characters), n_chars, n_chunks,
+    repeat_chars (those whose first place, by id and start, is in a row with another id), first_id, copies and
+    own_repeat_chars (those whose first place is under the same id: earlier in the text, or in another row). The
+    characters of both counts are to be cut out; what is left is the first place of every chunk.
 
-    One shuffle by digest, of 24 bytes a chunk, then one of the shared chunks only, by document.
+    One shuffle by digest, of 32 bytes a chunk, then one of the repeated chunks only, by row.
     """
     same = Window.partitionBy("digest")
     shared = (
         chunks(docs, id_col, text_col, mean)
-        .withColumn("low", F.min("id").over(same))
-        .withColumn("high", F.max("id").over(same))
         .withColumn("copies", F.count(F.lit(1)).over(same))
-        .filter("low < high OR (high IS NOT NULL AND id IS NULL)")
+        .filter("copies > 1")
+        .withColumn("first", F.min(F.struct("id", F.expr("loc div 1024").alias("start"), "row")).over(same))
         .withColumn("start", F.expr("loc div 1024"))
         .withColumn("end", F.expr("loc div 1024 + loc % 1024"))
     )
-    line = Window.partitionBy("id").orderBy("start", "end")
+    is_first = F.struct("id", "start", "row").eqNullSafe(F.col("first"))
+    other = ~F.col("id").eqNullSafe(F.col("first.id"))
+    length = F.col("end") - F.col("start")
+    line = Window.partitionBy("id", "row").orderBy("start", "end")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     runs = (
         shared.withColumn("gap", F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1)))
         .withColumn("run", F.sum("gap").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("id", "run")
+        .groupBy("id", "row", "run")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
             F.count(F.lit(1)).alias("n_chunks"),
-            F.sum(F.when(F.col("id") > F.col("low"), F.col("end") - F.col("start")).otherwise(0)).alias("repeat_chars"),
-            F.min("low").alias("first_id"),
+            F.sum(F.when(other, length).otherwise(0)).alias("repeat_chars"),
+            F.min("first.id").alias("first_id"),
             F.max("copies").alias("copies"),
+            F.sum(F.when(~other & ~is_first, length).otherwise(0)).alias("own_repeat_chars"),
         )
     )
     return runs.filter(F.col("end") - F.col("start") >= min_chars).select(
@@ -134,4 +147,5 @@ def spans(
         "repeat_chars",
         "first_id",
         "copies",
+        "own_repeat_chars",
     )

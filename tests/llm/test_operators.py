@@ -431,6 +431,21 @@ def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
         assert len(inner) >= 10 and " ".join(inner) in passages[want[d]]
 
 
+def test_passages_repeated_in_one_document_or_without_ids_are_found(spark):
+    rng = random.Random(17)
+    a, b = " ".join(prose(rng, 60)), " ".join(prose(rng, 60))
+    rest = lambda: " ".join(prose(rng, 80))
+    rows = [(1, f"{rest()} {a} {rest()} {a} {rest()}"), (None, f"{rest()} {b}"), (None, f"{b} {rest()}"), (2, rest())]
+    got = chunk_dedup.spans(spark.createDataFrame(rows, DOCS)).collect()
+    for i, text in ((1, a), (None, b)):
+        own = [r for r in got if r["doc_id"] == i]
+        # a short chunk may be shared by chance
+        assert len(own) == 2 and all(r["repeat_chars"] < 0.1 * len(text) for r in own)
+        cut = sorted(r["own_repeat_chars"] for r in own)
+        assert cut[0] < 0.1 * len(text) and cut[1] > 0.6 * len(text)
+    assert len(got) == 4
+
+
 # ~~ pipeline
 def test_pipeline_end_to_end(spark, sf, documents):
     import corpus_pipeline
