@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -31,10 +31,13 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for cut tables: ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The cluster's folder for cut tables: ``spark.checkpoint.dir``; on one machine (``local`` master) a temporary
+    folder where it is unset, on a cluster an error, since executors share no such folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = getattr(shared_dir, "made", None)
     if made is None:
         made = shared_dir.made = tempfile.mkdtemp(prefix="quire-")
@@ -143,8 +146,10 @@ def prefix_sum(
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the least node of the component.
 
-    Alternating large-star and small-star rounds. Each round is one table in shared storage, and the one before
-    is dropped; rounds grow with the logarithm of the graph's size. Null ends and loops are ignored.
+    Alternating large-star and small-star rounds. Least neighbours are aggregated (combined before the shuffle) and
+    joined back, so that a node with very many neighbours is split by the skew join instead of being one window. Each
+    round is one table in shared storage, and the one before is dropped; rounds grow with the logarithm of the graph's
+    size. Null ends and loops are ignored.
     """
     now = cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -152,20 +157,16 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     mark = _mark(now)
-    while True:
+    while mark[0]:
         both = now.union(now.select("v", "u"))
-        low = F.min("v").over(Window.partitionBy("u"))
-        large = (
-            both.withColumn("m", F.least(low, "u"))
-            .filter("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        star = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = large.join(low, "u")
         small = (
             star.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u > v")
-            .union(star.select("u", F.col("m").alias("v")))
+            .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
         new = cut(small)
@@ -188,6 +189,87 @@ def _mark(df: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+# ~~ candidates by shared buckets
+#: Buckets beyond the ``HOT`` largest of a sample hold at most 1 / ``HOT`` of all rows and are grouped in one task.
+HOT = 10_000
+_HOT_SAMPLE, _HOT_ROWS = 0.01, 200
+#: Members of one bucket are compared in blocks of about this many.
+_BLOCK = 256
+
+
+def meeting(source: DataFrame, rows_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(bucket, node, first) of every row of ``rows_of(source)`` (bucket, node) whose bucket holds another node; first is
+    the bucket's least node.
+
+    Hot buckets, found in a sample, are not gathered: their least node is aggregated with combining and comes back by a
+    broadcast of at most ``HOT`` rows. The sample decides on the way only, not on the result.
+    """
+    got = rows_of(source)
+    hot = (
+        rows_of(source.sample(_HOT_SAMPLE, 11))
+        .groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") >= _HOT_ROWS)
+        .orderBy(F.desc("n"), "bucket")
+        .limit(HOT)
+        .toArrow()
+        .column("bucket")
+        .to_pylist()
+    )
+    by = Window.partitionBy("bucket")
+    whole = None
+    if hot:
+        keys = F.broadcast(source.sparkSession.createDataFrame([(b,) for b in hot], "bucket long"))
+        least = got.join(keys, "bucket", "left_semi").groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+        whole = got.join(F.broadcast(cut(least).filter("first < last").select("bucket", "first")), "bucket")
+        got = got.join(keys, "bucket", "left_anti")
+    cold = (
+        got.withColumn("first", F.min("node").over(by))
+        .withColumn("last", F.max("node").over(by))
+        .filter("first < last")
+        .select("bucket", "node", "first")
+    )
+    return cold if whole is None else cold.union(whole.select("bucket", "node", "first"))
+
+
+def linked(members: DataFrame, check: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) that connect every two nodes of one bucket which ``check`` would find similar, and their
+    ``components``.
+
+    ``members`` is a cut table as ``meeting`` gives it; ``check`` keeps the similar ones of distinct pairs (a, b).
+    First each node is checked against its bucket's least node. Then pairs of one bucket that are still in different
+    components are checked, block against block, so that no bucket is gathered as a whole. Pairs in one component are
+    settled and not checked again.
+    """
+    star = cut(members.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    edges = cut(check(star))
+    found = cut(components(edges))
+    at = members.join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    at = cut(at)
+    mixed = (
+        at.groupBy("bucket")
+        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .filter("lo < hi AND n > 2")
+        .select("bucket", F.expr(f"(n + {_BLOCK - 1}) div {_BLOCK}").alias("parts"))
+    )
+    split = at.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    left = split.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("part"), F.col("part").alias("own"), F.col("node").alias("x"), F.col("root").alias("rx"))
+    right = split.select("bucket", "part", F.col("node").alias("y"), F.col("root").alias("ry"))
+    rest = (
+        left.join(right, ["bucket", "part"])
+        .filter("rx <> ry AND (own > part OR x > y)")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+        .join(star, ["a", "b"], "left_anti")
+    )
+    rest = cut(rest)
+    more = None if rest.isEmpty() else cut(check(rest))
+    if more is None or more.isEmpty():
+        return edges, found
+    edges = edges.union(more)
+    return edges, cut(components(edges))
+
+
 # ~~ text as arrays
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows whose texts have about ``limit`` bytes together."""

@@ -2,9 +2,10 @@
 
 Lines (trimmed, longer than nothing) are first made distinct by exact text in one shuffle. Signatures of the distinct
 lines are banded; lines of one bucket are candidates. With 10 bands of 4 rows a pair at the threshold 0.7 meets with
-probability 0.94, one at 0.8 with 0.99. Candidates are verified on their exact shingle sets. In a bucket each line is
-verified against the bucket's least line first; after union-find only pairs of lines still in different components
-are verified, so no candidate is left out and none whose answer is settled is paid for.
+probability 0.94, one at 0.8 with 0.99. Candidates are verified on their exact shingle sets, if at least ``AGREE`` of
+their 40 minima agree (of the pairs at 0.7 that share a band this leaves out 3 in 100,000, and fewer above). In a bucket
+each line is verified against the bucket's least line first; after union-find only pairs of lines still in different
+components are verified, so none whose answer is settled is paid for.
 
 Cases: null texts have no lines; empty or blank lines are no lines and stay in the text; a line shorter than the
 shingle is one shingle; equal lines, also of one document, are one component; ties between places go to the least
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -30,10 +31,11 @@ SHINGLE = 8
 BANDS = 10
 ROWS = 4
 THRESHOLD = 0.7
+#: Of the 40 minima of a pair this many must agree before it is compared.
+AGREE = 18
 _SPACES = " \t\n\r\x0b\f"
 
 _SEEDS = C.mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-_ADDS = C.mix(np.arange(1001, 1257, dtype=np.uint64)).astype(np.uint32)
 
 
 def shingles(cp: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,40 +48,75 @@ def shingles(cp: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, n
     return h, np.concatenate([[0], np.cumsum(count)])
 
 
-def minhash(h: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
-    """k minima for each line, as a (k, lines) array of uint32."""
-    low = (h >> np.uint64(32)).astype(np.uint32)
+def quick_shingles(cp: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same in 32 bits, for signatures: lines shorter than a shingle are filled up with zeros."""
+    short = np.maximum(0, width - np.diff(off))
+    if short.any():
+        cp = np.insert(cp, np.repeat(off[1:], short), 0)
+        off = off + np.concatenate([[0], np.cumsum(short)])
+    n = max(0, len(cp) - width + 1)
+    h = np.zeros(n, np.uint32)
+    for j in range(width):
+        h *= np.uint32(0x9E3779B1)
+        h += cp[j : j + n]
+    inside = np.ones(len(cp), bool)
+    inside[(off[1:, None] - np.arange(1, width)).ravel()] = False
+    h = h[inside[:n]]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h, np.concatenate([[0], np.cumsum(np.diff(off) - width + 1)])
+
+
+def minhash(low: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
+    """k minima for each line, as a (k, lines) array of uint32; hash i of a mixed shingle is its product with seed i."""
     out = np.empty((k, len(off) - 1), np.uint32)
     tmp = np.empty_like(low)
     for i in range(k):
         np.multiply(low, _SEEDS[i], out=tmp)
-        tmp += _ADDS[i]
-        tmp ^= tmp >> np.uint32(15)
         out[i] = np.minimum.reduceat(tmp, off[:-1])
     return out
 
 
-def bands(lines: DataFrame, width: int, n_bands: int, rows: int) -> DataFrame:
-    """(bucket, h) of the distinct lines (h, line)."""
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("h", T.LongType())])
+def lanes(sig: np.ndarray) -> np.ndarray:
+    """Minima as 16-bit hashes that differ by row of the signature, four rows to a 64-bit key: (k / 4, lines)."""
+    k, n = sig.shape
+    h = C.mix(sig.astype(np.uint64) + (np.arange(1, k + 1, dtype=np.uint64) << np.uint64(32))[:, None]) >> np.uint64(48)
+    shift = (np.arange(4, dtype=np.uint64) * np.uint64(16))[None, :, None]
+    return np.bitwise_or.reduce(h.reshape(k // 4, 4, n) << shift, axis=1)
+
+
+def signed(lines: DataFrame, width: int, n_bands: int) -> DataFrame:
+    """``lines`` (h, line, first, copies) with the bands b0, b1 ..: four minima to a band, 16 bits each."""
+    names = [f"b{i}" for i in range(n_bands)]
+    schema = T.StructType([*lines.schema.fields, *(T.StructField(c, T.LongType()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in C.slices(whole, 1):
-                h, off = shingles(*C.codes(b.column(1)), width)
-                sig = minhash(h, off, n_bands * rows).astype(np.uint64)
-                keys = []
-                for i in range(n_bands):
-                    key = np.full(b.num_rows, i + 1, np.uint64)
-                    for r in range(rows):
-                        key = C.mix(key ^ sig[i * rows + r])
-                    keys.append(key)
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, n_bands))], names=schema.names
-                )
-
-    return lines.select("h", "line").mapInArrow(run, schema)
+                h, off = quick_shingles(*C.codes(b.column(1)), width)
+                keys = lanes(minhash(h, off, n_bands * ROWS)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x) for x in keys)], names=schema.names)
+
+    return lines.mapInArrow(run, schema)
+
+
+def bands(lines: DataFrame, n_bands: int) -> DataFrame:
+    """(bucket, node) of the distinct lines."""
+    return lines.select(F.explode(F.array(*(f"b{i}" for i in range(n_bands)))).alias("bucket"), F.col("h").alias("node"))
+
+
+def _alike(n_bands: int) -> Column:
+    """How many minima agree: four lanes of 16 bits a band."""
+    total = F.lit(0)
+    for i in range(n_bands):
+        t = F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))
+        for s in (8, 4, 2, 1):
+            t = t.bitwiseOR(F.shiftrightunsigned(t, s))
+        total = total + (4 - F.bit_count(t.bitwiseAND(F.lit(0x0001000100010001))))
+    return total
 
 
 def jaccard(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
@@ -101,10 +138,15 @@ def jaccard(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
     return inter / (sizes[0] + sizes[1] - inter)
 
 
-def verified(pairs: DataFrame, lines: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose lines reach the threshold."""
-    texts = lines.select("h", "line")
-    full = pairs.join(texts.withColumnsRenamed({"h": "a", "line": "la"}), "a").join(
+def verified(pairs: DataFrame, lines: DataFrame, width: int, threshold: float, n_bands: int, agree: int) -> DataFrame:
+    """The pairs (a, b) whose lines reach the threshold; only those with ``agree`` equal minima are compared."""
+    sides = [
+        lines.select(F.col("h").alias(k), *(F.col(f"b{i}").alias(f"{v}{i}") for i in range(n_bands))) for k, v in ("ax", "by")
+    ]
+    close = C.cut(pairs.join(sides[0], "a").join(sides[1], "b").filter(_alike(n_bands) >= agree).select("a", "b"))
+    wanted = close.select(F.col("a").alias("h")).union(close.select("b")).distinct()
+    texts = C.cut(lines.select("h", "line").join(wanted, "h", "left_semi"))
+    full = close.join(texts.withColumnsRenamed({"h": "a", "line": "la"}), "a").join(
         texts.withColumnsRenamed({"h": "b", "line": "lb"}), "b"
     )
 
@@ -133,13 +175,13 @@ def roots(
     text_col: str = "text",
     width: int = SHINGLE,
     n_bands: int = BANDS,
-    rows: int = ROWS,
     threshold: float = THRESHOLD,
+    agree: int = AGREE,
 ) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines with their first place and count, (h, root) of lines similar to others)."""
+    """(distinct lines with their first place, count and bands, (h, root) of lines similar to others)."""
     # repartitioned first, so that the grouping, the table's buckets and the joins below share one shuffle of the texts
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = C.cut_by(
+    lines = (
         places(docs, id_col, text_col)
         .repartition(n, "h")
         .groupBy("h")
@@ -147,44 +189,12 @@ def roots(
             F.min("line").alias("line"),
             F.min(F.struct("doc_id", "line_no")).alias("first"),
             F.count(F.lit(1)).alias("copies"),
-        ),
-        "h",
-    )
-    buckets = C.cut(
-        bands(lines, width, n_bands, rows)
-        .groupBy("bucket")
-        .agg(F.sort_array(F.collect_set("h")).alias("hs"))
-        .filter("size(hs) > 1")
-        .select("hs")
-        .distinct()
-    )
-    # texts of candidates only, so that the joins of the verification carry no others
-    nodes = buckets.select(F.explode("hs").alias("h")).distinct()
-    texts = C.cut(lines.select("h", "line").join(nodes, "h", "left_semi"))
-    star = buckets.select(F.col("hs")[0].alias("a"), F.explode(F.slice("hs", 2, 1 << 30)).alias("b")).distinct()
-    edges = C.cut(verified(star, texts, width, threshold))
-    found = C.cut(C.components(edges))
-    # what the stars left open: pairs of one bucket in different components
-    open_ = (
-        buckets.withColumn("k", F.xxhash64("hs"))
-        .select("k", F.explode("hs").alias("h"))
-        .join(found.withColumnRenamed("node", "h"), "h", "left")
-        .withColumn("root", F.coalesce("root", "h"))
-    )
-    many = open_.groupBy("k").agg(F.collect_list(F.struct("root", "h")).alias("m")).filter(
-        "size(array_distinct(m.root)) > 1"
-    )
-    rest = (
-        many.select("m", F.explode("m").alias("x"))
-        .select("x", F.explode("m").alias("y"))
-        .filter("x.h < y.h AND x.root <> y.root")
-        .select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-        .distinct()
-        .join(star.select("a", "b"), ["a", "b"], "left_anti")
+        )
+        .select("h", "line", "first", "copies")
     )
-    more = C.cut(verified(rest, texts, width, threshold))
-    if not more.isEmpty():
-        found = C.cut(C.components(edges.union(more)))
+    lines = C.cut_by(signed(lines, width, n_bands), "h")
+    members = C.cut(C.meeting(lines, lambda part: bands(part, n_bands)))
+    _, found = C.linked(members, lambda pairs: verified(pairs, lines, width, threshold, n_bands, agree))
     return lines, found.withColumnRenamed("node", "h")
 
 

@@ -83,8 +83,8 @@ def test_defined_results(docs):
     assert rep[2]["keep"] and rep[2]["n_words"] == 0 and rep[3]["keep"] and rep[4]["keep"]
     und = {r["doc_id"]: r["language"] for r in language_id.identify(docs).collect()}
     assert und[2] == und[3] == und[4] == "und"
-    pairs = {(r["doc_a"], r["doc_b"], r["jaccard"]) for r in ngram_join.join(docs).collect()}
-    assert pairs == {(5, 6, 1.0)}
+    pairs = {tuple(r) for r in ngram_join.join(docs).collect()}
+    assert pairs == {(5, 5, 2, 2, 0), (6, 5, 2, 2, 0)}
     kept = [r["doc_id"] for r in ngram_join.apply(docs).collect()]
     assert 6 not in kept and kept.count(1) == 2 and kept.count(None) == 2
     lines = {(r["doc_id"], r["line_no"]): r["keep"] for r in line_dedup.duplicates(docs).collect()}
@@ -107,6 +107,18 @@ def test_rows_lose_only_their_own_lines(spark):
     ]
 
 
+def test_join_takes_rows_one_by_one(spark):
+    """Different texts under one id, without id, and ids that are no numbers."""
+    a, u = "one two three four five six", "quite another text that stands nowhere else"
+    rows = [("1", a), ("2", a), ("2", u), (None, a), (None, "no relation to any of these")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r["doc_id"] or "", r["text"]) for r in ngram_join.apply(df).collect())
+    assert got == [("", a), ("", "no relation to any of these"), ("1", a), ("2", u)]
+    assert sorted(tuple(r)[:2] for r in ngram_join.join(df).collect()) == [("1", "1"), ("2", "1")]
+    left = sorted((r["doc_id"] or "", r["text"]) for r in line_dedup.apply(df, size_col=None).collect())
+    assert ("2", u) in left and ("", "no relation to any of these") in left
+
+
 def test_registered_transport_query_gives_payloads(spark, sf):
     from quire.llm import queries
 

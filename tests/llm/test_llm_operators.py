@@ -229,6 +229,38 @@ def _grams(t: str, n: int = ngram_join.N) -> frozenset:
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
+def _classes(texts, threshold):
+    """Brute force: text number -> (least number of its class, size of the class, copies) of all that have a partner."""
+    sets = [_grams(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = 0
+    for a, s in enumerate(sets):
+        for b in range(a):
+            both = len(s & sets[b])
+            if s and both and both >= threshold * (len(s) + len(sets[b]) - both):
+                near += s != sets[b]
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    size = Counter(find(i) for i in range(len(texts)) if sets[i])
+    return {i: (find(i), size[find(i)], sets.count(sets[i])) for i in range(len(texts)) if sets[i] and size[find(i)] > 1}, near
+
+
+def _check_join(spark, texts, threshold, least):
+    want, near = _classes(texts, threshold)
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = ngram_join.join(df, threshold=threshold).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_class"], r["copies"]) for r in got} == want and near > least
+    assert all((r["links"] > 0) == (r["n_class"] > r["copies"]) for r in got)
+    kept = {r["doc_id"] for r in ngram_join.apply(df, threshold=threshold).collect()}
+    assert kept == {i for i in range(len(texts)) if i not in want or want[i][0] == i}
+
+
 def test_join_against_brute_force(spark):
     rng = random.Random(11)
     texts = []
@@ -236,48 +268,70 @@ def test_join_against_brute_force(spark):
         for _ in range(6):
             w = [f"v{rng.randrange(100_000)}" for _ in range(size)]
             texts.append(w)
-            for rate in (0.02, 0.08, 0.15, 0.2, 0.3):
+            for rate in (0.02, 0.04, 0.05, 0.08, 0.15):
                 texts.append([x if rng.random() > rate else f"e{rng.randrange(100_000)}" for x in w])
-    texts = [" ".join(w) for w in texts] + [" ".join(texts[0]), "one", "one", ""]
-    sets = [_grams(t) for t in texts]
-    least: dict[frozenset, int] = {}
-    for i, s in enumerate(sets):
-        least.setdefault(s, i)
-    true = {
-        (a, b)
-        for a in least.values()
-        for b in least.values()
-        if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= ngram_join.THRESHOLD * len(sets[a] | sets[b])
-    }
-    got = ngram_join.join(spark.createDataFrame(list(enumerate(texts)), DOCS)).toPandas()
-    near = {(a, b) for a, b, j in got.itertuples(index=False) if j < 1}
-    assert near <= true
-    assert len(near & true) >= 0.9 * len(true) and len(true) > 150
-    edge = {(a, b) for a, b in true if len(sets[a] & sets[b]) < 0.58 * len(sets[a] | sets[b])}
-    assert len(near & edge) >= 0.9 * len(edge) and len(edge) > 10
-    for a, b, j in got.itertuples(index=False):
-        assert j == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
-
-
-def test_join_leaves_out_no_pair(spark):
-    """Truncated copies at the threshold, and texts of 15 to 60 n-grams."""
+    texts = [" ".join(w) for w in texts]
+    texts += [texts[0], "one", "one", ""]
+    _check_join(spark, texts, ngram_join.THRESHOLD, 100)
+
+
+@pytest.mark.parametrize("threshold", (0.6, 0.8))
+def test_join_leaves_out_no_link(spark, threshold):
+    """Pairs only, each of its own words and as far apart as the threshold allows, so that no third text can help."""
     rng = random.Random(12)
     texts = []
-    for size in (4, 15, 16, 18, 24, 32, 46, 60, 127, 260, 900):
-        for _ in range(8):
-            w = [f"v{rng.randrange(100_000)}" for _ in range(size + 1)]
-            texts += [w, w[: size // 2 + 1 + size % 2], w[size // 3 :]]
-            for _ in range(3):
-                e = list(w)
-                for at in rng.sample(range(size + 1), max(1, size // 6)):
-                    e[at] = f"e{rng.randrange(100_000)}"
-                texts.append(e)
-    sets = [_grams(" ".join(w)) for w in texts]
-    n = len(sets)
-    assert len(set(sets)) == n
-    true = {(a, b) for a in range(n) for b in range(a + 1, n) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
-    got = ngram_join.join(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], DOCS)).toPandas()
-    assert set(zip(got["doc_a"], got["doc_b"], strict=True)) == true and len(true) > 500
+    for size in (4, 5, 9, 10, 15, 16, 18, 24, 32, 46, 60, 127, 260, 900):
+        for _ in range(6):
+            w = [f"v{rng.randrange(10**8)}" for _ in range(size + 1)]
+            texts += [w, w[: -(-size * int(threshold * 100) // 100) + 1]]  # a contained text, just similar enough
+            w = [f"v{rng.randrange(10**8)}" for _ in range(size + 1)]
+            diff = int(size * (1 - threshold) / (1 + threshold))
+            texts += [w, w[:-diff] + [f"e{rng.randrange(10**8)}" for _ in range(diff)] if diff else w[:-1]]
+    _check_join(spark, [" ".join(w) for w in texts], threshold, 130)
+
+
+def test_signatures_keep_their_promise():
+    """Sets of one band or of neighbouring ones at the threshold share a signature, or both are weak and share a prefix."""
+    rng = np.random.default_rng(5)
+    for threshold in (0.7, 0.8, 0.9):
+        for size in (5, 7, 10, 20, 50, 120, 400, 2000):
+            for _ in range(60):
+                n = size + int(rng.integers(0, 3))
+                most = int(n * (1 - threshold) / (1 + threshold) + 1e-9)
+                a = rng.integers(0, 1 << 32, n).astype(np.uint32)
+                gone = int(rng.integers(0, most + 1))
+                b = np.concatenate([a[gone:], rng.integers(0, 1 << 32, gone).astype(np.uint32)])
+                if rng.random() < 0.5:
+                    b = a[: int(np.ceil(threshold * n))]
+                a, b = np.unique(a), np.unique(b)
+                same = len(np.intersect1d(a, b))
+                if same < threshold * (len(a) + len(b) - same) or np.array_equal(a, b):
+                    continue
+                doc = np.repeat([0, 1], [len(a), len(b)])
+                feat = np.concatenate([a, b])
+                who, sig, weak = ngram_join.signatures(doc, feat, 2, threshold)
+                shared = len(np.intersect1d(sig[who == 0], sig[who == 1])) > 0
+                if not shared:
+                    assert weak.all()
+                pre, token = ngram_join.prefixes(doc, feat, 2, threshold, np.zeros(0, np.uint32), np.zeros(0, np.int64))
+                assert len(np.intersect1d(token[pre == 0], token[pre == 1])) > 0
+
+
+def test_hot_buckets_give_the_same_links(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id % 3 AS bucket", "id AS node")
+    want = {(r["bucket"], r["node"], r["first"]) for r in C.meeting(rows, lambda d: d).collect()}
+    monkeypatch.setattr(C, "_HOT_ROWS", 1)
+    monkeypatch.setattr(C, "_HOT_SAMPLE", 0.9)
+    assert {(r["bucket"], r["node"], r["first"]) for r in C.meeting(rows, lambda d: d).collect()} == want and len(want) == 3000
+
+
+def test_links_connect_all_that_meet_and_agree(spark, monkeypatch):
+    """One bucket of 700 nodes in 7 kinds: those of one kind are similar."""
+    monkeypatch.setattr(C, "_BLOCK", 16)
+    members = C.cut(spark.range(700).selectExpr("1L AS bucket", "id AS node", "0L AS first"))
+    _, found = C.linked(members, lambda p: p.filter("a % 7 = b % 7"))
+    root = {r["node"]: r["root"] for r in found.collect()}
+    assert root == {i: i % 7 for i in range(700)}
 
 
 # ~~ 7 repetition
@@ -460,7 +514,7 @@ def test_pipeline_end_to_end(spark, sf, documents):
     assert len(lines) == len(set(lines))
     texts = [r["text"] for r in seen["ngram_jaccard"].collect()]
     sets = [_grams(t) for t in texts]
-    close = sum(1 for i, a in enumerate(sets) for b in sets[:i] if a and len(a & b) >= 0.6 * len(a | b))
+    close = sum(1 for i, a in enumerate(sets) for b in sets[:i] if a and len(a & b) >= ngram_join.THRESHOLD * len(a | b))
     assert close == 0
     assert {r["doc_id"] for r in seen["source_mix"].collect()} == {r["doc_id"] for r in seen["ngram_jaccard"].collect()}
     words = sum(len(r["text"].split()) for r in seen["source_mix"].collect())
