@@ -197,6 +197,17 @@ _HOT_SAMPLE, _HOT_ROWS = 0.01, 200
 _BLOCK = 256
 
 
+def hot_keys(sample: DataFrame, key: str) -> list[int]:
+    """The most frequent values, ``HOT`` at most, of a 1 % sample's column that stand in it ``_HOT_ROWS`` times or more."""
+    counts = sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= _HOT_ROWS)
+    return counts.orderBy(F.desc("n"), key).limit(HOT).toArrow().column(key).to_pylist()
+
+
+def keys_table(spark: SparkSession, keys: list[int], name: str) -> DataFrame:
+    """At most ``HOT`` keys, to be broadcast."""
+    return F.broadcast(spark.createDataFrame([(k,) for k in keys], f"{name} long"))
+
+
 def meeting(source: DataFrame, rows_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(bucket, node, first) of every row of ``rows_of(source)`` (bucket, node) whose bucket holds another node; first is
     the bucket's least node.
@@ -205,21 +216,11 @@ def meeting(source: DataFrame, rows_of: Callable[[DataFrame], DataFrame]) -> Dat
     broadcast of at most ``HOT`` rows. The sample decides on the way only, not on the result.
     """
     got = rows_of(source)
-    hot = (
-        rows_of(source.sample(_HOT_SAMPLE, 11))
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= _HOT_ROWS)
-        .orderBy(F.desc("n"), "bucket")
-        .limit(HOT)
-        .toArrow()
-        .column("bucket")
-        .to_pylist()
-    )
+    hot = hot_keys(rows_of(source.sample(_HOT_SAMPLE, 11)), "bucket")
     by = Window.partitionBy("bucket")
     whole = None
     if hot:
-        keys = F.broadcast(source.sparkSession.createDataFrame([(b,) for b in hot], "bucket long"))
+        keys = keys_table(source.sparkSession, hot, "bucket")
         least = got.join(keys, "bucket", "left_semi").groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"))
         whole = got.join(F.broadcast(cut(least).filter("first < last").select("bucket", "first")), "bucket")
         got = got.join(keys, "bucket", "left_anti")
@@ -271,8 +272,8 @@ def linked(members: DataFrame, check: Callable[[DataFrame], DataFrame]) -> tuple
 
 
 # ~~ text as arrays
-def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows whose texts have about ``limit`` bytes together."""
+def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of at most ``rows`` rows whose texts have about ``limit`` bytes together."""
     n = batch.num_rows
     if not n:
         return
@@ -281,7 +282,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
     at = 0
     while at < n:
         base = end[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(end, base + limit, side="right")))
+        to = max(at + 1, min(at + rows, int(np.searchsorted(end, base + limit, side="right"))))
         yield batch.slice(at, to - at)
         at = to
 

@@ -30,6 +30,8 @@ FAMILIES: dict[str, tuple[str, ...]] = {
 }
 DIM = 2048
 PER_LANGUAGE = 400
+#: Feature vectors are dense, so this many rows at a time bound their memory (6 MB), however short the texts.
+SLICE_ROWS = 256
 _KEYS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 UND = "und"
 
@@ -96,7 +98,7 @@ def train(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for b in C.slices(whole, 2):
+                for b in C.slices(whole, 2, rows=SLICE_ROWS):
                     x, letters = frequencies(*C.codes(b.column(2)), dim)
                     vec = pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), vec], names=["lang", "key", "x"]).filter(
@@ -174,7 +176,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in C.slices(whole, 1):
+            for b in C.slices(whole, 1, rows=SLICE_ROWS):
                 got = classify(*C.codes(b.column(1)), model)
                 cols = [pa.array(got[c], pa.string() if i < 2 else pa.float64()) for i, c in enumerate(names[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=names)

@@ -6,9 +6,10 @@ least ``CONTAINMENT`` of a template's word pairs, the Jaccard similarity of the
 bands of 2 rows such a window collides with the template with probability 0.99. A length whose templates repeat word
 pairs, or a lower share, takes as many bands more as that needs. A window with fewer places of the
 word pairs of the templates of that length than the share needs can't contain one and is not hashed. Retrieved pairs are verified on the sets
-themselves: the share of the template's word pairs that the window holds. In one window only the templates of the
-largest share count, so a notice isn't also taken for a sister licence of the same length that differs in a word; a
-longer text that holds a shorter template gives both. Templates have no greatest length; the registered ones are notices,
+themselves: the share of the template's word pairs that the window holds. A window counts for a template if all
+its word pairs are there, or some that no template of a larger share has in a window that overlaps: a notice isn't also
+taken for a sister licence that differs in a word, two notices side by side give two rows, and a
+longer text that holds a shorter template whole gives both. Templates have no greatest length; the registered ones are notices,
 standard headers and whole licence texts.
 
 Cases: null, empty and one-word texts match nothing; a text shorter than the window is one window; a template of one
@@ -146,6 +147,7 @@ class Index:
         """(text, name, spdx, containment, first word of the best window, windows) of every template in every text."""
         h, doc, place = scan_words(cp, off)
         best: dict[tuple[int, str], list] = {}
+        hits: dict[int, list[tuple[float, str, str, int, int, np.ndarray]]] = {}
         if len(h) < 2 or not self.classes:
             return []
         g = _pairs(h)
@@ -164,7 +166,6 @@ class Index:
             # places of known pairs in each window, which no template's share can exceed
             places = np.searchsorted(hit, np.minimum(starts + wide - 1, end[starts])) - np.searchsorted(hit, starts)
             starts = starts[places >= least * min(len(x[2]) for x in held) - 1e-9]
-            shares = np.zeros((len(held), len(starts)))
             rows = max(1, _BLOCK // wide)
             for lo in range(0, len(starts), rows):
                 part = starts[lo : lo + rows]
@@ -177,18 +178,23 @@ class Index:
                 for t, (_, _, shingles, own) in enumerate(held):
                     near = (sig == own.reshape(1, bands, self.rows)).all(axis=2).any(axis=1)
                     for r in np.flatnonzero(near):
-                        shares[t, lo + r] = np.isin(shingles, sets[r][ok[r]]).mean()
-            if not len(starts):
-                continue
-            shares[(shares < least) | (shares < shares.max(axis=0))] = 0
-            for t, (name, spdx, _, _) in enumerate(held):
-                for r in np.flatnonzero(shares[t]):
-                    share = shares[t, r]
-                    key = (int(doc[starts[r]]), name)
-                    now = best.setdefault(key, [spdx, -1.0, 0, 0])
-                    now[3] += 1
-                    if share > now[1]:
-                        now[1], now[2] = float(share), int(place[starts[r]])
+                        found = np.isin(shingles, sets[r][ok[r]])
+                        if found.mean() >= least - 1e-9:
+                            at0 = int(part[r])
+                            hits.setdefault(int(doc[at0]), []).append((float(found.mean()), *held[t][:2], at0, at0 + wide, shingles[found]))
+        for d, several in hits.items():
+            taken: list[tuple[str, int, int, set[int]]] = []
+            for share, name, spdx, lo, hi, found in sorted(several, key=lambda x: (-x[0], x[1], x[3])):
+                # a template is there if it is whole or has word pairs that no better one around there explains
+                own = set(found.tolist())
+                others = set().union(*(x for n, a, b, x in taken if n != name and a < hi and lo < b))
+                if share < 1 and own <= others:
+                    continue
+                taken.append((name, lo, hi, own))
+                now = best.setdefault((d, name), [spdx, -1.0, 0, 0])
+                now[3] += 1
+                if share > now[1]:
+                    now[1], now[2] = share, int(place[lo])
         return [(d, name, *v) for (d, name), v in sorted(best.items())]
 
 

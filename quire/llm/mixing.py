@@ -4,8 +4,9 @@ Documents of a source are shuffled (by an md5 of seed and id) and laid end to en
 one block. Slot i of the schedule has the golden-ratio point frac(i * phi), kept exact in 32-bit integers; the
 cumulative weights cut [0, 1) into one interval a source, so each prefix of the schedule is close to the target
 weights. The slots of a source are ranked, and its k-th slot takes block k modulo the number of its blocks; a further
-round is a further epoch. The schedule ends at the slot where the last source has shown all its blocks once, so
-nothing is left out and the sources that the target favours are repeated.
+round is a further epoch. With a ``token_budget`` the schedule has as many slots as that needs, and what rare sources
+show of themselves follows from their weights. Without one it ends at the slot where the last source has shown all its
+blocks once, so nothing is left out and the sources that the target favours are repeated.
 
 Weights default to the 3/4 power of a source's words (smoothed towards equal shares); ``weights`` names others.
 
@@ -32,6 +33,9 @@ _SLICE = 1 << 16
 _CELLS = 256
 #: Slots beyond the exact share within which the rarest source's last block must fall.
 _SLACK = 64
+#: Without a token budget the schedule shows all blocks; weights that need more slots than this many times their number
+#: are an error, as is a positive weight too small for an interval.
+MAX_EPOCHS = 1000
 
 
 def _point(slot: Column) -> Column:
@@ -74,12 +78,18 @@ def shares(laid: DataFrame, block_tokens: int, weights: Mapping[str, float] | No
     return got.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("source")), F.lit(0)).cast("long"))
 
 
-def slots(spark, share: DataFrame) -> DataFrame:
-    """(slot, source, rank, blocks): the schedule, cut where every block of every source has been shown."""
+def slots(spark, share: DataFrame, n_slots: int | None = None) -> DataFrame:
+    """(slot, source, rank, blocks): the schedule, ``n_slots`` long or cut where every block of every source has been shown."""
     row = share.agg(
-        F.max(F.ceil((F.col("blocks") + _SLACK) * float(_SPAN) / F.greatest(F.col("high") - F.col("low"), F.lit(1)))).alias("n")
+        F.max(F.ceil((F.col("blocks") + _SLACK) * float(_SPAN) / F.greatest(F.col("high") - F.col("low"), F.lit(1)))).alias("n"),
+        F.sum("blocks").alias("blocks"),
+        F.expr("count_if(high <= low)").alias("lost"),
     ).first()
-    n = int(row["n"] or 0)
+    n = int(row["n"] or 0) if n_slots is None else n_slots
+    if n_slots is None and (row["lost"] or n > MAX_EPOCHS * ((row["blocks"] or 0) + _SLACK)):
+        raise ValueError(
+            f"showing every block once takes {n} slots for {row['blocks']} blocks: give a token budget, or less uneven weights"
+        )
     # the interval join runs on cells of the unit interval, so it is an equi-join at any number of sources
     cells = share.filter("high > low").withColumn(
         "cell", F.explode(F.sequence(F.expr(f"low div {_SPAN // _CELLS}"), F.expr(f"(high - 1) div {_SPAN // _CELLS}")))
@@ -93,10 +103,16 @@ def slots(spark, share: DataFrame) -> DataFrame:
         .select("slot", "source", "blocks", F.expr(f"slot div {_SLICE}").alias("part"), F.lit(1).cast("long").alias("one"))
     )
     got = C.prefix_sum(got, ["source"], "part", ["slot"], "one", "rank")
+    if n_slots is not None:
+        return got.select("slot", "source", "rank", "blocks")
     end = got.filter("rank = blocks - 1").agg(F.max("slot").alias("end"))
     return got.crossJoin(F.broadcast(end)).filter("slot <= end").select("slot", "source", "rank", "blocks")
 
 
+def _slots_of(token_budget: int | None, block_tokens: int) -> int | None:
+    return None if token_budget is None else -(-token_budget // block_tokens)
+
+
 def schedule(
     docs: DataFrame,
     block_tokens: int = BLOCK_TOKENS,
@@ -105,12 +121,13 @@ def schedule(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    token_budget: int | None = None,
 ) -> DataFrame:
     """The mix: one row for each piece of a document in each slot - slot, source, epoch, block, doc_id, and the
     half-open range of the document's words (tok_start, tok_end)."""
     laid = C.cut(laid_out(docs, id_col, text_col, source_col, seed))
     share = C.cut(shares(laid, block_tokens, weights))
-    plan = slots(docs.sparkSession, share).select(
+    plan = slots(docs.sparkSession, share, _slots_of(token_budget, block_tokens)).select(
         "slot", "source", F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block")
     )
     b = block_tokens
@@ -137,14 +154,16 @@ def apply(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    token_budget: int | None = None,
 ) -> DataFrame:
-    """``docs`` mixed: each document as often as the schedule shows the block in which it begins, never cut.
+    """``docs`` mixed: each document as often as the schedule shows the block in which it begins, never cut; without a
+    ``token_budget`` at least once.
 
     How often follows from the source's number of slots alone, so texts are shuffled once and no block is joined.
     """
     laid = C.cut(laid_out(docs, id_col, text_col, source_col, seed))
     share = C.cut(shares(laid, block_tokens, weights))
-    given = slots(docs.sparkSession, share).groupBy("source").agg(F.count(F.lit(1)).alias("given"), F.max("blocks").alias("blocks"))
+    given = slots(docs.sparkSession, share, _slots_of(token_budget, block_tokens)).groupBy("source").agg(F.count(F.lit(1)).alias("given"), F.max("blocks").alias("blocks"))
     block = F.expr(f"__start div {block_tokens}")
     times = F.when(block < F.col("given"), F.expr("(given - 1 - block) div blocks + 1")).otherwise(0)
     full = laid_out(docs, id_col, text_col, source_col, seed, keep=True)

@@ -40,6 +40,8 @@ FIELDS = {
     "payload": pa.binary(),
 }
 
+#: Stream ids whose packets have no header fields after the length: maps, padding, private 2, ECM, EMM, DSM-CC and such.
+_PLAIN = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF))
 _CRC = []
 for _i in range(256):
     _c = _i << 24
@@ -158,7 +160,10 @@ def parse(data: bytes | None) -> list[tuple]:
         has = body[at]
         step = (cc[at][1:].astype(np.int64) - cc[at][:-1]) & 15
         same = np.zeros(len(at), bool)
-        same[1:] = (step == 0) & has[1:] & has[:-1] & (pk[at[1:]] == pk[at[:-1]]).all(axis=1)
+        # a repeated packet may carry a new clock reference
+        plain = pk[at].copy()
+        plain[np.ix_((flags[at] & 0x10) != 0, range(6, 12))] = 0
+        same[1:] = (step == 0) & has[1:] & has[:-1] & (plain[1:] == plain[:-1]).all(axis=1)
         bad = np.zeros(len(at), bool)
         bad[1:] = (step != has[1:]) & ~same[1:] & ((flags[at][1:] & 0x80) == 0)
         keep = has & ~same
@@ -172,7 +177,11 @@ def parse(data: bytes | None) -> list[tuple]:
             es = b"".join(pk[i, start[i] :].tobytes() for i in own.tolist())
             pts = dts = None
             whole = False
-            if len(es) >= 9 and es[:3] == b"\0\0\1":
+            if len(es) >= 6 and es[:3] == b"\0\0\1" and es[3] in _PLAIN:
+                size = es[4] << 8 | es[5]
+                whole = len(es) >= 6 + size
+                es = es[6 : 6 + size] if size else es[6:]
+            elif len(es) >= 9 and es[:3] == b"\0\0\1":
                 size = es[4] << 8 | es[5]
                 mark, head_size = es[7] >> 6, es[8]
                 if mark & 2 and len(es) >= 14:

@@ -257,8 +257,6 @@ def _check_join(spark, texts, threshold, least):
     got = ngram_join.join(df, threshold=threshold).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_class"], r["copies"]) for r in got} == want and near > least
     assert all((r["links"] > 0) == (r["n_class"] > r["copies"]) for r in got)
-    kept = {r["doc_id"] for r in ngram_join.apply(df, threshold=threshold).collect()}
-    assert kept == {i for i in range(len(texts)) if i not in want or want[i][0] == i}
 
 
 def test_join_against_brute_force(spark):
@@ -309,14 +307,14 @@ def test_signatures_keep_their_promise():
                     continue
                 doc = np.repeat([0, 1], [len(a), len(b)])
                 feat = np.concatenate([a, b])
-                shared, rest = False, {}
+                signed, rest = {0: set(), 1: set()}, {0: set(), 1: set()}
                 for ahead in (0, 1):
-                    who, sig, weak, rounds = ngram_join.signatures(doc, feat, 2, threshold, ahead)
-                    shared |= len(np.intersect1d(sig[who == 0], sig[who == 1])) > 0
+                    who, sig, empty, rounds = ngram_join.signatures(doc, feat, 2, threshold, ahead)
                     for i in (0, 1):
-                        rest.setdefault(i, set()).update(rounds[[i]][weak[[i]]].tolist())
-                assert shared or rest[0] & rest[1]
-                pre, token = ngram_join.prefixes(doc, feat, 2, threshold, np.zeros(0, np.uint32), np.zeros(0, np.int64))
+                        signed[i] |= set(sig[who == i].tolist())
+                        rest[i] |= set(empty[1][empty[0] == i].tolist())
+                assert signed[0] & signed[1] or rest[0] & rest[1]
+                pre, token = ngram_join.prefixes(doc, feat, 2, threshold)
                 assert len(np.intersect1d(token[pre == 0], token[pre == 1])) > 0
 
 
@@ -524,3 +522,65 @@ def test_pipeline_end_to_end(spark, sf, documents):
     assert seen["packing"].agg(F.sum("n_tokens")).first()[0] == words
     ran = corpus_pipeline.run(spark, sf)
     assert sorted(map(str, ran.drop("pack_id", "slot").collect())) == sorted(map(str, seen["packing"].drop("pack_id", "slot").collect()))
+
+
+# ~~ after the first round
+def test_mix_with_a_token_budget(documents):
+    weights = {"src0": 0.7, "src1": 0.3, "src2": 1e-11}
+    with pytest.raises(ValueError, match="token budget"):
+        mixing.schedule(documents, weights=weights).count()
+    got = mixing.schedule(documents, block_tokens=64, weights=weights, token_budget=64_000).select("slot", "source").distinct()
+    n = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+    assert abs(n["src0"] - 700) <= 3 and abs(n["src1"] - 300) <= 3
+
+
+def test_two_notices_in_one_window_and_no_sister(spark):
+    t = licenses.TEMPLATES
+    texts = [
+        f"{t['mit-notice'][1]} {t['apache-notice'][1]}",
+        f"{t['gpl2-notice'][1]} {t['gpl3-notice'][1]}",
+        t["gpl2-notice"][1],
+    ]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    found = {i: {r["template"] for r in got if r["doc_id"] == i} for i in range(3)}
+    assert found[1] == {"gpl2-notice", "gpl3-notice"} and found[2] == {"gpl2-notice"}
+    assert {"mit-notice", "apache-notice"} <= found[0]
+
+
+def test_packets_without_header_fields_and_repeats_with_a_new_clock():
+    data = transport.mux([b"first unit", b"second"], b"meta")
+    pk = transport.packets(data).copy()
+    head = np.flatnonzero(((pk[:, 1] & 0x1F) == 1) & (pk[:, 2] == 0) & ((pk[:, 1] & 0x40) != 0))
+    want = transport.parse(data)
+    clocked = pk[head[0]].copy()
+    assert clocked[3] & 0x20 and clocked[4] > 8
+    clocked[5] |= 0x10
+    again = clocked.copy()
+    again[6:12] = 7
+    pk = np.concatenate([pk[: head[0]], clocked[None], again[None], pk[head[0] + 1 :]])
+    assert [(r[8], r[9], r[-1]) for r in transport.parse(pk.tobytes())] == [(r[8], r[9], r[-1]) for r in want]
+    at = bytes(pk[head[0]]).index(b"\0\0\1\xe0")
+    private = pk.copy()
+    private[head[0] : head[0] + 2, at + 3] = 0xBF
+    row = next(r for r in transport.parse(private.tobytes()) if r[1] == 256 and r[3] == 0)
+    assert row[4] is None and row[-1].endswith(b"first unit") and len(row[-1]) == 10 + 13
+
+
+def test_repeats_are_cut_out(spark, monkeypatch):
+    """What is left after cutting holds no passage twice, and every word once more than nowhere."""
+    rng = random.Random(31)
+    passage = " ".join(prose(rng, 80))
+    own = [" ".join(prose(rng, 60)) for _ in range(4)]
+    rows = [(i, f"{a} {passage} {a[::-1]}") for i, a in enumerate(own)] + [(9, None), (None, ""), (None, passage), (7, own[0] + "\u00e9\U0001f600" + own[0])]
+    df = spark.createDataFrame(rows, DOCS + "")
+    got = chunk_dedup.apply(df)
+    assert got.columns == df.columns and got.count() == len(rows)
+    text = [r["text"] for r in got.collect()]
+    middle = passage[100:300]
+    assert sum(middle in t for t in text if t) == 1 and None in text
+    assert sum(len(t or "") for t in text) < sum(len(t or "") for _, t in rows) - 3.5 * len(passage)
+    assert chunk_dedup.spans(got).count() == 0
+    monkeypatch.setattr(C, "_HOT_ROWS", 1)
+    monkeypatch.setattr(C, "_HOT_SAMPLE", 0.9)
+    assert sorted(map(str, chunk_dedup.spans(df).drop("row").collect())) == sorted(map(str, chunk_dedup.spans(df).collect()))
+    assert sorted(str(r["text"]) for r in chunk_dedup.apply(df).collect()) == sorted(map(str, text))
