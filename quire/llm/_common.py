@@ -233,14 +233,20 @@ def meeting(source: DataFrame, rows_of: Callable[[DataFrame], DataFrame]) -> Dat
     return cold if whole is None else cold.union(whole.select("bucket", "node", "first"))
 
 
-def linked(members: DataFrame, check: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def linked(
+    members: DataFrame,
+    check: Callable[[DataFrame], DataFrame],
+    extra: DataFrame | None = None,
+    sieve: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect every two nodes of one bucket which ``check`` would find similar, and their
     ``components``.
 
     ``members`` is a cut table as ``meeting`` gives it; ``check`` keeps the similar ones of distinct pairs (a, b).
     First each node is checked against its bucket's least node. Then pairs of one bucket that are still in different
     components are checked, block against block, so that no bucket is gathered as a whole. Pairs in one component are
-    settled and not checked again.
+    settled and not checked again. ``sieve`` drops hopeless ones of these pairs as they arise, before they are shuffled; it
+    sees a, b and the columns of ``extra`` (node, ...) for both, with _a and _b appended.
     """
     star = cut(members.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     edges = cut(check(star))
@@ -254,20 +260,32 @@ def linked(members: DataFrame, check: Callable[[DataFrame], DataFrame]) -> tuple
         .select("bucket", F.expr(f"(n + {_BLOCK - 1}) div {_BLOCK}").alias("parts"))
     )
     split = at.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-    left = split.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("part"), F.col("part").alias("own"), F.col("node").alias("x"), F.col("root").alias("rx"))
-    right = split.select("bucket", "part", F.col("node").alias("y"), F.col("root").alias("ry"))
+    more = [] if extra is None else [c for c in extra.columns if c != "node"]
+    if more:
+        split = split.join(extra, "node")
+    split = cut(split.select("bucket", "part", "node", "root", *more))
+    left = split.select(
+        "bucket",
+        F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("part"),
+        F.col("part").alias("own"),
+        F.col("node").alias("a"),
+        F.col("root").alias("ra"),
+        *(F.col(c).alias(f"{c}_a") for c in more),
+    )
+    right = split.select("bucket", "part", F.col("node").alias("b"), F.col("root").alias("rb"), *(F.col(c).alias(f"{c}_b") for c in more))
+    rest = left.join(right, ["bucket", "part"]).filter("ra <> rb AND (own > part OR a > b)")
+    if sieve is not None:
+        rest = sieve(rest.select("a", "b", *(f"{c}_{k}" for c in more for k in ("a", "b"))))
     rest = (
-        left.join(right, ["bucket", "part"])
-        .filter("rx <> ry AND (own > part OR x > y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
     rest = cut(rest)
-    more = None if rest.isEmpty() else cut(check(rest))
-    if more is None or more.isEmpty():
+    late = None if rest.isEmpty() else cut(check(rest))
+    if late is None or late.isEmpty():
         return edges, found
-    edges = edges.union(more)
+    edges = edges.union(late)
     return edges, cut(components(edges))
 
 
