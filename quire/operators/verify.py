@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quire.functions import text as X
 from quire.functions.text import f
-from quire.plans.registry import query, relation
+from quire.plans.registry import SHARED, query, relation
 
 TOKEN = r"[0-9A-Za-z\x{00C0}-\x{024F}\x{0400}-\x{04FF}\x{0600}-\x{06FF}]{2,}"
 STOPWORDS = sorted(
@@ -21,9 +21,25 @@ PIPE_ROW = r"(?m)^[ \t]*\|.*\|[ \t]*$"
 HEADING = r"(?m)^#{1,6}\s+\S"
 
 
-def _bag(d, rel: str, key: str, side: int) -> str:
-    tokens = d.explode(f"(SELECT {key} AS k, {d.all('text', TOKEN)} AS ts FROM {rel}) AS s", "k", "ts", "raw")
-    return f"SELECT k, lower(raw) AS token, {side} AS side FROM {tokens} AS t WHERE lower(raw) NOT IN ({_STOP})"
+def _bag(d, rel: str, keys: str, text: str, side: int) -> str:
+    tokens = d.explode(f"(SELECT {keys}, {d.all(text, TOKEN)} AS ts FROM {rel}) AS s", keys, "ts", "raw")
+    return f"SELECT {keys}, lower(raw) AS token, {side} AS side FROM {tokens} AS t WHERE lower(raw) NOT IN ({_STOP})"
+
+
+def _met(d, rel: str, keys: str) -> str:
+    """Both bags of ``rel`` (src, ext) met by (keys, token): one shuffle counts both sides."""
+    both = f"{_bag(d, rel, keys, 'src', 1)} UNION ALL {_bag(d, rel, keys, 'ext', 2)}"
+    return f"""SELECT {keys}, cast(sum(s) AS BIGINT) AS n_src, cast(sum(e) AS BIGINT) AS n_ext, cast(sum(least(s, e)) AS BIGINT) AS n_both
+FROM (SELECT {keys}, token, count(*) FILTER (WHERE side = 1) AS s, count(*) FILTER (WHERE side = 2) AS e FROM ({both}) AS b GROUP BY {keys}, token) AS c GROUP BY {keys}"""
+
+
+def _presence(d, pages: str, whole: str) -> str:
+    """The share of each page's tokens (file_id, page_num, src) that its document's extraction (file_id, ext) holds."""
+    src = d.explode(f"(SELECT file_id, page_num, {d.all('src', TOKEN)} AS ts FROM {pages}) AS s", "file_id, page_num", "ts", "raw")
+    ext = d.explode(f"(SELECT file_id, {d.all('ext', TOKEN)} AS ts FROM {whole}) AS s", "file_id", "ts", "raw")
+    return f"""SELECT p.file_id, p.page_num, cast(sum(least(p.n, coalesce(w.n, 0))) AS DOUBLE) / sum(p.n) AS recovered
+FROM (SELECT file_id, page_num, lower(raw) AS token, count(*) AS n FROM {src} AS a WHERE lower(raw) NOT IN ({_STOP}) GROUP BY file_id, page_num, lower(raw)) AS p
+LEFT JOIN (SELECT file_id, lower(raw) AS token, count(*) AS n FROM {ext} AS b GROUP BY file_id, lower(raw)) AS w ON p.file_id = w.file_id AND p.token = w.token GROUP BY p.file_id, p.page_num"""
 
 
 @relation
@@ -34,37 +50,49 @@ def source_page(d):
 
 @relation
 def audited(d):
-    """The extraction of the same pages, with known damage; invoice tables lose most rows or all pipes."""
+    """The extraction of the same pages, with known damage: of ten documents one comes as a single blob, one lacks its last
+    pages and one has a page too many; invoice tables lose most rows or all pipes."""
     n = d.idiv("2 * length(text)", "3")
+    nl = d.char(10)
     return (
-        "SELECT file_id, page_num, doc_id, text FROM {ext_page} UNION ALL SELECT 1000000 + doc_id, 0, doc_id + 1000000000,"
-        f" CASE doc_id % 4 WHEN 1 THEN substring(text, 1, cast({n} AS INTEGER)) WHEN 2 THEN replace(text, '|', ' ') ELSE text END FROM {{invoice}}"
+        "SELECT file_id, page_num, text FROM {ext_page} WHERE file_id % 10 NOT IN (3, 4) OR file_id % 10 = 4 AND page_num < 47"
+        f" UNION ALL SELECT file_id, 0, {d.listagg('text', f'concat({nl}, {nl})', 'page_num')} FROM {{ext_page}} WHERE file_id % 10 = 3 GROUP BY file_id"
+        " UNION ALL SELECT file_id, 50, 'A page that no source page answers to' FROM {ext_page} WHERE file_id % 10 = 5 AND page_num = 0"
+        f" UNION ALL SELECT 1000000 + doc_id, 0, CASE doc_id % 4 WHEN 1 THEN substring(text, 1, cast({n} AS INTEGER)) WHEN 2 THEN replace(text, '|', ' ') ELSE text END FROM {{invoice}}"
     )
 
 
+@relation
+def paired(d):
+    """Every page of either side, by document and page number; a side that lacks the page has an empty text."""
+    return """SELECT coalesce(s.file_id, a.file_id) AS file_id, coalesce(s.page_num, a.page_num) AS page_num, coalesce(s.text, '') AS src, coalesce(a.text, '') AS ext,
+ s.file_id IS NOT NULL AS in_src, a.file_id IS NOT NULL AS in_ext FROM {source_page} AS s FULL OUTER JOIN {audited} AS a ON s.file_id = a.file_id AND s.page_num = a.page_num"""
+
+
+@relation
+def paging(d):
+    """Whether the page counts of both sides agree to a tenth, rounded half to even, or to one page."""
+    tenth = f"{d.idiv('n_src', '10')} + CASE WHEN n_src % 10 > 5 OR n_src % 10 = 5 AND {d.idiv('n_src', '10')} % 2 = 1 THEN 1 ELSE 0 END"
+    return f"""SELECT file_id, n_src > 0 AND n_ext > 0 AND abs(n_ext - n_src) <= greatest(1, {tenth}) AS aligned
+FROM (SELECT file_id, count(*) FILTER (WHERE in_src) AS n_src, count(*) FILTER (WHERE in_ext) AS n_ext FROM {{paired}} GROUP BY file_id) AS c"""
+
+
 @relation
 def token_match(d):
-    """Both bags met by (page, token): one shuffle counts both sides."""
-    both = f"{_bag(d, '{source_page}', 'doc_id', 1)} UNION ALL {_bag(d, '{audited}', 'doc_id', 2)}"
-    return f"""SELECT k AS doc_id, cast(sum(s) AS BIGINT) AS n_src, cast(sum(e) AS BIGINT) AS n_ext, cast(sum(least(s, e)) AS BIGINT) AS n_both
-FROM (SELECT k, token, count(*) FILTER (WHERE side = 1) AS s, count(*) FILTER (WHERE side = 2) AS e FROM ({both}) AS b GROUP BY k, token) AS c GROUP BY k"""
+    return _met(d, "{paired}", "file_id, page_num")
 
 
 @relation
 def off_page(d):
     """For pages with an empty slot only: how much of them the whole extraction of the document holds."""
-    lost = f"(SELECT s.file_id, s.doc_id, s.text FROM {{source_page}} AS s JOIN {{audited}} AS a ON s.doc_id = a.doc_id WHERE length({X.strip(d, 'a.text')}) < 20) AS l"
-    src = d.explode(f"(SELECT file_id, doc_id, {d.all('text', TOKEN)} AS ts FROM {lost}) AS s", "file_id, doc_id", "ts", "raw")
-    ext = d.explode(f"(SELECT file_id, {d.all('text', TOKEN)} AS ts FROM {{audited}}) AS s", "file_id", "ts", "raw")
-    return f"""SELECT p.doc_id, cast(sum(least(p.n, coalesce(w.n, 0))) AS DOUBLE) / sum(p.n) AS recovered
-FROM (SELECT file_id, doc_id, lower(raw) AS token, count(*) AS n FROM {src} AS a WHERE lower(raw) NOT IN ({_STOP}) GROUP BY file_id, doc_id, lower(raw)) AS p
-LEFT JOIN (SELECT file_id, lower(raw) AS token, count(*) AS n FROM {ext} AS b GROUP BY file_id, lower(raw)) AS w ON p.file_id = w.file_id AND p.token = w.token GROUP BY p.doc_id"""
+    lost = f"(SELECT file_id, page_num, src FROM {{paired}} WHERE length({X.strip(d, 'ext')}) < 20) AS l"
+    return _presence(d, lost, "{paired}")
 
 
 @query
 def page_alignment(d):
     return (
-        f"SELECT doc_id, CASE WHEN n_src = 0 THEN {f(1.0)} ELSE cast(n_both AS DOUBLE) / n_src END AS alignment,"
+        f"SELECT file_id, page_num, CASE WHEN n_src = 0 THEN {f(1.0)} ELSE cast(n_both AS DOUBLE) / n_src END AS alignment,"
         f" CASE WHEN n_ext < 12 THEN {f(0.0)} ELSE cast(n_ext - n_both AS DOUBLE) / n_ext END AS hallucination_risk FROM {{token_match}}"
     )
 
@@ -79,10 +107,35 @@ def largest_table(d, s: str) -> str:
 def measured(d):
     align = f"CASE WHEN coalesce(m.n_src, 0) = 0 THEN {f(1.0)} ELSE cast(m.n_both AS DOUBLE) / m.n_src END"
     hallu = f"CASE WHEN coalesce(m.n_ext, 0) < 12 THEN {f(0.0)} ELSE cast(m.n_ext - m.n_both AS DOUBLE) / m.n_ext END"
-    return f"""SELECT s.file_id, s.page_num, s.doc_id, length({X.strip(d, 's.text')}) AS sc, length({X.strip(d, 'a.text')}) AS ec,
- {X.score_page(d, 'a.text')} AS conf, {align} AS alignment, {hallu} AS hallu, o.recovered, {d.count('s.text', PIPE_ROW)} AS s_rows, {d.count('a.text', PIPE_ROW)} AS e_rows,
- {largest_table(d, 's.text')} AS s_block, {largest_table(d, 'a.text')} AS e_block, {d.has('s.text', HEADING)} AS s_head, {d.has('a.text', HEADING)} AS e_head
-FROM {{source_page}} AS s JOIN {{audited}} AS a ON s.doc_id = a.doc_id LEFT JOIN {{token_match}} AS m ON s.doc_id = m.doc_id LEFT JOIN {{off_page}} AS o ON s.doc_id = o.doc_id"""
+    return f"""SELECT p.file_id, p.page_num, length({X.strip(d, 'p.src')}) AS sc, length({X.strip(d, 'p.ext')}) AS ec,
+ {X.score_page(d, 'p.ext')} AS conf, {align} AS alignment, {hallu} AS hallu, o.recovered, {d.count('p.src', PIPE_ROW)} AS s_rows, {d.count('p.ext', PIPE_ROW)} AS e_rows,
+ {largest_table(d, 'p.src')} AS s_block, {largest_table(d, 'p.ext')} AS e_block, {d.has('p.src', HEADING)} AS s_head, {d.has('p.ext', HEADING)} AS e_head
+FROM {{paired}} AS p JOIN {{paging}} AS g ON p.file_id = g.file_id LEFT JOIN {{token_match}} AS m ON p.file_id = m.file_id AND p.page_num = m.page_num
+LEFT JOIN {{off_page}} AS o ON p.file_id = o.file_id AND p.page_num = o.page_num WHERE g.aligned"""
+
+
+@relation
+def blob(d):
+    """Documents whose page boundaries can't be trusted: both sides whole."""
+    nl2 = f"concat({d.char(10)}, {d.char(10)})"
+    one = lambda c: d.listagg(f"CASE WHEN {c} <> '' THEN {c} END", nl2, "page_num")
+    return f"""SELECT p.file_id, coalesce({one('p.src')}, '') AS src, coalesce({one('p.ext')}, '') AS ext
+FROM {{paired}} AS p JOIN {{paging}} AS g ON p.file_id = g.file_id WHERE NOT g.aligned GROUP BY p.file_id"""
+
+
+@relation
+def unsegmented(d):
+    """Each source page of those documents against the whole extraction, by presence; cover, score and risk are the document's."""
+    pages = "(SELECT p.file_id, p.page_num, p.src FROM {paired} AS p JOIN {paging} AS g ON p.file_id = g.file_id WHERE NOT g.aligned) AS q"
+    sc, ec = f"length({X.strip(d, 'src')})", f"length({X.strip(d, 'ext')})"
+    one, zero = f(1.0), f(0.0)
+    return f"""SELECT p.file_id, p.page_num, length({X.strip(d, 'p.src')}) AS sc, coalesce(o.recovered, {one}) AS alignment, w.cov, w.conf,
+ CASE WHEN coalesce(m.n_ext, 0) < 12 THEN {zero} ELSE cast(m.n_ext - m.n_both AS DOUBLE) / m.n_ext END AS hallu,
+ {d.count('p.src', PIPE_ROW)} AS s_rows, {d.has('p.src', HEADING)} AS s_head
+FROM {{paired}} AS p JOIN (SELECT file_id, CASE WHEN {sc} = 0 THEN {one} ELSE least({one}, cast({ec} AS DOUBLE) / {sc}) END AS cov,
+ CASE WHEN {ec} = 0 THEN {zero} ELSE {X.score_page(d, 'ext')} END AS conf FROM {{blob}}) AS w ON p.file_id = w.file_id
+LEFT JOIN ({_met(d, '{blob}', 'file_id')}) AS m ON p.file_id = m.file_id
+LEFT JOIN ({_presence(d, pages, '{blob}')}) AS o ON p.file_id = o.file_id AND p.page_num = o.page_num WHERE p.in_src"""
 
 
 @relation
@@ -103,15 +156,21 @@ def page_verif(d):
     all_ = d.join(d.compact(d.array(*(f"CASE WHEN {c} THEN '{n}' END" for c, n in flags))), "','")
     by = lambda scored, **k: "CASE state " + " ".join(f"WHEN '{s}' THEN {v}" for s, v in k.items()) + f" ELSE {scored} END"
     one, zero, rec = f(1.0), f(0.0), "round(recovered, 4)"
+    ub = lambda scored, blank, drop: f"CASE kind WHEN 'blank' THEN {blank} WHEN 'drop' THEN {drop} ELSE {scored} END"
     fail = f"cov < {f(0.25)} AND alignment < {f(0.35)}"
-    return f"""SELECT file_id, page_num, doc_id, cast(sc AS BIGINT) AS source_chars, cast(ec AS BIGINT) AS extracted_chars,
+    return f"""SELECT file_id, page_num, true AS page_aligned, cast(sc AS BIGINT) AS source_chars, cast(ec AS BIGINT) AS extracted_chars,
  {by('round(cov, 4)', blank=one, unreadable=one, moved=rec, drop=zero)} AS coverage, {by('round(conf, 4)', blank=one, unreadable='conf', moved=rec, drop=zero)} AS confidence,
  {by('round(alignment, 4)', blank=one, unreadable=zero, moved=rec, drop=zero)} AS alignment, {by('round(hallu, 4)', blank=zero, unreadable=zero, moved=zero, drop=zero)} AS hallucination_risk,
  state = 'drop' AS silent_drop, {by('NOT (s_rows >= 2 AND e_rows < 2)', blank='true', unreadable='true', moved='true', drop='s_rows < 2')} AS table_integrity,
  {by('NOT (s_head AND NOT e_head)', blank='true', unreadable='true', moved='true', drop='NOT s_head')} AS heading_integrity,
  {by(f"CASE WHEN {fail} THEN 'fail' WHEN all_flags <> '' THEN 'review' ELSE 'pass' END", blank="'pass'", unreadable="'unverifiable'", moved="'review'", drop="'fail'")} AS verdict,
  {by('all_flags', blank="'blank_page'", unreadable="'source_no_text_layer'", moved="'content_off_page'", drop="'silent_drop'")} AS flags
-FROM (SELECT *, {all_} AS all_flags FROM (SELECT *, {state} AS state, {cov} AS cov FROM {{measured}}) AS a) AS b"""
+FROM (SELECT *, {all_} AS all_flags FROM (SELECT *, {state} AS state, {cov} AS cov FROM {{measured}}) AS a) AS b
+UNION ALL SELECT file_id, page_num, false, cast(sc AS BIGINT), cast(0 AS BIGINT), {ub('round(cov, 4)', one, zero)}, {ub('round(conf, 4)', one, zero)}, {ub('round(alignment, 4)', one, 'round(alignment, 4)')},
+ {ub('round(hallu, 4)', zero, zero)}, kind = 'drop', {ub('true', 'true', 's_rows < 2')}, {ub('true', 'true', 'NOT s_head')},
+ {ub("CASE WHEN extra <> '' THEN 'review' ELSE 'pass' END", "'pass'", "'fail'")}, {ub("concat('unsegmented_extraction', extra)", "'blank_page,unsegmented_extraction'", "'silent_drop,unsegmented_extraction'")}
+FROM (SELECT *, CASE WHEN sc < 20 THEN 'blank' WHEN sc >= 200 AND alignment < {f(0.15)} THEN 'drop' ELSE 'scored' END AS kind,
+ concat(CASE WHEN alignment < {f(0.55)} THEN ',low_alignment' ELSE '' END, CASE WHEN hallu > {f(0.45)} THEN ',hallucination_risk' ELSE '' END) AS extra FROM {{unsegmented}}) AS u"""
 
 
 @query
@@ -127,7 +186,7 @@ def manifest(d):
         f"{d.join(d.map(d.collect(f'CASE WHEN {c} THEN page_num + 1 END'), 'cast(x AS VARCHAR(20))'), chr(39) + ',' + chr(39))} AS {n}"
         for n, c in (("silent_drops", "silent_drop"), ("low_confidence_pages", low), ("review_pages", "verdict = 'review'"), ("unverifiable_pages", "verdict = 'unverifiable'"))
     )
-    return f"""SELECT file_id, count(*) AS page_count, CASE WHEN bool_or(verdict = 'fail' OR silent_drop) THEN 'FAIL' WHEN bool_or(verdict IN ('review', 'unverifiable') OR ({low})) THEN 'REVIEW' ELSE 'PASS' END AS verdict,
+    return f"""SELECT file_id, count(*) AS page_count, bool_and(page_aligned) AS page_aligned, CASE WHEN bool_or(verdict = 'fail' OR silent_drop) THEN 'FAIL' WHEN bool_or(verdict IN ('review', 'unverifiable') OR ({low})) THEN 'REVIEW' ELSE 'PASS' END AS verdict,
  round(sum(confidence * {w}) / sum({w}), 6) AS confidence, round(sum(coverage * {w}) / sum({w}), 6) AS coverage, {lists} FROM {{page_verif}} GROUP BY file_id"""
 
 
@@ -154,12 +213,10 @@ def verify_summary(d):
 @query
 def verify_unsegmented(d):
     """Each source page against the whole extraction of its document, by content presence."""
-    src = d.explode(f"(SELECT file_id, doc_id, {d.all('text', TOKEN)} AS ts FROM {{page}}) AS s", "file_id, doc_id", "ts", "raw")
-    ext = d.explode(f"(SELECT file_id, {d.all('text', TOKEN)} AS ts FROM {{ext_page}}) AS s", "file_id", "ts", "raw")
-    return f"""SELECT g.doc_id, g.chars, round(coalesce(a.alignment, 1), 6) AS alignment, g.chars >= 200 AND coalesce(a.alignment, 1) < {f(0.15)} AS silent_drop FROM {{graded}} AS g LEFT JOIN
-(SELECT p.doc_id, cast(sum(least(p.n, coalesce(w.n, 0))) AS DOUBLE) / sum(p.n) AS alignment
-FROM (SELECT file_id, doc_id, lower(raw) AS token, count(*) AS n FROM {src} AS a WHERE lower(raw) NOT IN ({_STOP}) GROUP BY file_id, doc_id, lower(raw)) AS p
-LEFT JOIN (SELECT file_id, lower(raw) AS token, count(*) AS n FROM {ext} AS b GROUP BY file_id, lower(raw)) AS w ON p.file_id = w.file_id AND p.token = w.token GROUP BY p.doc_id) AS a ON g.doc_id = a.doc_id"""
+    pages = "(SELECT file_id, page_num, text AS src FROM {page}) AS q"
+    whole = "(SELECT file_id, text AS ext FROM {ext_page}) AS r"
+    return f"""SELECT g.doc_id, g.chars, round(coalesce(a.recovered, 1), 6) AS alignment, g.chars >= 200 AND coalesce(a.recovered, 1) < {f(0.15)} AS silent_drop FROM {{graded}} AS g
+JOIN {{page}} AS p ON g.doc_id = p.doc_id LEFT JOIN ({_presence(d, pages, whole)}) AS a ON p.file_id = a.file_id AND p.page_num = a.page_num"""
 
 
 @query
@@ -178,3 +235,6 @@ def doc_diff(d):
     new = f"CASE WHEN doc_id % 2 = 0 THEN text ELSE {d.sub('text', r'(?m)^## .*$', '## Changed')} END"
     return f"""SELECT doc_id, old_chars, new_chars, {d.size('a')} - {d.common('a', 'b')} AS removed_headings, {d.size('b')} - {d.common('a', 'b')} AS added_headings FROM (
 SELECT doc_id, cast(length(text) AS BIGINT) AS old_chars, cast(length({new}) AS BIGINT) AS new_chars, {heads('text')} AS a, {heads(new)} AS b FROM {{md_page}}) AS x"""
+
+
+SHARED.update(dict.fromkeys(("verify_pages", "verify_manifest", "verify_batch", "verify_summary"), ("paired",)))

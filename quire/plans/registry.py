@@ -10,6 +10,7 @@ import importlib
 import re
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .dialect import DUCK, SPARK, Spark
@@ -22,6 +23,9 @@ RELATIONS: dict[str, Builder] = {}
 QUERIES: dict[str, Builder] = {}
 #: Queries whose result only Spark can state.
 SPARK_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Relations that a query reads many times, computed once and kept in memory or on disk while it runs; a lost executor's
+#: part is computed again.
+SHARED: dict[str, tuple[str, ...]] = {}
 _REF = re.compile(r"\{([a-z_]\w*)\}")
 
 
@@ -64,6 +68,9 @@ def _load() -> None:
 def run(name: str, spark: SparkSession, sf_dir: str | None = None, **relations: DataFrame) -> DataFrame:
     """A query over the driver's tables in ``sf_dir``, or over the given relations in their place."""
     _load()
+    for r in SHARED.get(name, ()):
+        if r not in relations:
+            relations[r] = run_sql(f"SELECT * FROM {{{r}}}", spark, sf_dir, **relations).persist(StorageLevel.MEMORY_AND_DISK)
     return run_sql(QUERIES[name](SPARK), spark, sf_dir, **relations)
 
 

@@ -112,19 +112,41 @@ def test_self_verification_is_perfect(spark, sf):
     assert got.filter("alignment < 1 AND verdict = 'pass'").count() == 0
 
 
+def _verify(spark, src, ext, name="verify_pages"):
+    cols = "file_id long, page_num long, text string"
+    rel = {"source_page": spark.createDataFrame(src, cols), "audited": spark.createDataFrame(ext, cols)}
+    return {(r["file_id"], r["page_num"]) if name == "verify_pages" else r["file_id"]: r for r in run(name, spark, **rel).collect()}
+
+
 def test_silent_drop_and_table_loss(spark):
     table = "| a | b |\n|---|---|\n" + "\n".join(f"| row{i} | value{i} |" for i in range(30))
     prose = "substantial paragraph about nothing particular " * 10
-    cols = "file_id long, page_num long, doc_id long, text string"
-    src = spark.createDataFrame([(1, 0, 1, prose), (2, 0, 2, table), (3, 0, 3, table), (4, 0, 4, "")], cols)
-    ext = spark.createDataFrame([(1, 0, 1, ""), (2, 0, 2, table[:220]), (3, 0, 3, table.replace("|", " ")), (4, 0, 4, None)], cols).fillna("")
-    got = {r["doc_id"]: r for r in run("verify_pages", spark, source_page=src, audited=ext).collect()}
+    src = [(1, 0, prose), (2, 0, table), (3, 0, table), (4, 0, "")]
+    ext = [(1, 0, ""), (2, 0, table[:220]), (3, 0, table.replace("|", " ")), (4, 0, "")]
+    got = {k[0]: r for k, r in _verify(spark, src, ext).items()}
     assert got[1]["silent_drop"] and got[1]["verdict"] == "fail"
     assert "table_truncated" in got[2]["flags"]
     assert "table_dropped" in got[3]["flags"] and not got[3]["table_integrity"]
     assert got[4]["flags"] == "blank_page"
 
 
+def test_missing_pages_extra_pages_and_blobs(spark):
+    """Missing last page, page too many, everything in one page with nothing lost, the same with a page lost, nothing at all."""
+    p = {i: " ".join(f"{w}{i}{j}" for j in range(12) for w in ("alpha", "bravo", "charlie", "delta")) for i in range(3)}
+    src = [(f, i, p[i]) for f in range(1, 6) for i in range(3)]
+    ext = [(1, 0, p[0]), (1, 1, p[1])]
+    ext += [(2, i, p[i]) for i in range(3)] + [(2, 3, "a page that stands in no source at all")]
+    ext += [(3, 0, "\n\n".join(p.values())), (4, 0, f"{p[0]}\n\n{p[2]}")]
+    pages = _verify(spark, src, ext)
+    got = _verify(spark, src, ext, "verify_manifest")
+    assert got[1]["verdict"] == "FAIL" and got[1]["silent_drops"] == "3" and got[1]["page_count"] == 3 and got[1]["page_aligned"]
+    assert got[2]["verdict"] == "REVIEW" and got[2]["page_count"] == 4 and pages[2, 3]["verdict"] == "unverifiable"
+    assert not got[3]["page_aligned"] and got[3]["verdict"] in ("PASS", "REVIEW") and got[3]["silent_drops"] == ""
+    assert all("unsegmented_extraction" in pages[3, i]["flags"] for i in range(3))
+    assert not got[4]["page_aligned"] and got[4]["verdict"] == "FAIL" and got[4]["silent_drops"] == "2"
+    assert got[5]["verdict"] == "FAIL" and got[5]["silent_drops"] == "1,2,3"
+
+
 def test_chunks_hold_bound_and_text(spark, sf):
     from quire.operators.chunking import split_oversize
     from quire.plans.registry import run_sql
