@@ -266,14 +266,14 @@ def test_join_against_brute_force(spark):
         for _ in range(6):
             w = [f"v{rng.randrange(100_000)}" for _ in range(size)]
             texts.append(w)
-            for rate in (0.02, 0.04, 0.05, 0.08, 0.15):
+            for rate in (0.02, 0.08, 0.15, 0.2, 0.3):
                 texts.append([x if rng.random() > rate else f"e{rng.randrange(100_000)}" for x in w])
     texts = [" ".join(w) for w in texts]
     texts += [texts[0], "one", "one", ""]
     _check_join(spark, texts, ngram_join.THRESHOLD, 100)
 
 
-@pytest.mark.parametrize("threshold", (0.6, 0.8))
+@pytest.mark.parametrize("threshold", (0.5, 0.6, 0.8))
 def test_join_leaves_out_no_link(spark, threshold):
     """Pairs only, each of its own words and as far apart as the threshold allows, so that no third text can help."""
     rng = random.Random(12)
@@ -291,7 +291,7 @@ def test_join_leaves_out_no_link(spark, threshold):
 def test_signatures_keep_their_promise():
     """Sets of one band or of neighbouring ones at the threshold share a signature, or both are weak and share a prefix."""
     rng = np.random.default_rng(5)
-    for threshold in (0.7, 0.8, 0.9):
+    for threshold in (0.5, 0.7, 0.8, 0.9):
         for size in (5, 7, 10, 20, 50, 120, 400, 2000):
             for _ in range(60):
                 n = size + int(rng.integers(0, 3))
