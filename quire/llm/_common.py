@@ -242,7 +242,7 @@ def linked(
     """Verified links (a, b) that connect every two nodes of one bucket which ``check`` would find similar, and their
     ``components``.
 
-    ``members`` is a cut table as ``meeting`` gives it; ``check`` keeps the similar ones of distinct pairs (a, b).
+    ``members`` is a cut table as ``meeting`` gives it, dropped on the way; ``check`` keeps the similar ones of distinct pairs (a, b).
     First each node is checked against its bucket's least node. Then pairs of one bucket that are still in different
     components are checked, block against block, so that no bucket is gathered as a whole. Pairs in one component are
     settled and not checked again. ``sieve`` drops hopeless ones of these pairs as they arise, before they are shuffled; it
@@ -253,6 +253,7 @@ def linked(
     found = cut(components(edges))
     at = members.join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     at = cut(at)
+    drop_cut(members)
     mixed = (
         at.groupBy("bucket")
         .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -264,6 +265,7 @@ def linked(
     if more:
         split = split.join(extra, "node")
     split = cut(split.select("bucket", "part", "node", "root", *more))
+    drop_cut(at)
     left = split.select(
         "bucket",
         F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("part"),
