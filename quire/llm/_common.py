@@ -99,6 +99,35 @@ def drop_cut(df: DataFrame) -> None:
 
 
 _PATHS: list[tuple[SparkSession, str]] = []
+_NOTED: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def tables_noted() -> Iterator[None]:
+    """What is cut inside may be dropped by ``drop_noted``."""
+    start = len(_PATHS)
+    try:
+        yield
+    finally:
+        _NOTED.extend(_PATHS[start:])
+
+
+def drop_noted(docs: DataFrame) -> None:
+    """Drop the noted tables, but for those that ``docs`` still reads."""
+    if not _NOTED:
+        return
+    files = docs.inputFiles()
+    keep = [(s, p) for s, p in _NOTED if any(p.rsplit("/", 1)[-1] in f for f in files)]
+    for spark, path in _NOTED:
+        if (spark, path) not in keep and getattr(spark.sparkContext, "_jsc", None) is not None:
+            _drop(spark, path)
+            _PATHS.remove((spark, path))
+    _NOTED[:] = keep
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[-1].replace('-', '_')}")
+    remove(spark, path)
 
 
 @atexit.register
@@ -109,8 +138,7 @@ def cleanup() -> None:
         if getattr(spark.sparkContext, "_jsc", None) is None:
             continue
         try:
-            spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[-1].replace('-', '_')}")
-            remove(spark, path)
+            _drop(spark, path)
         except Exception:  # noqa: BLE001 - the gateway may already be gone at interpreter exit
             return
 
