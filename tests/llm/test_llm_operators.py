@@ -319,6 +319,32 @@ def test_signatures_keep_their_promise():
                 assert len(np.intersect1d(token[pre == 0], token[pre == 1])) > 0
 
 
+def test_links_are_counted_whole(spark):
+    """Every pair of different sets counts, also of those that other links connect already; brute force."""
+    rng = random.Random(14)
+    texts = []
+    for size in (6, 30, 200):
+        w = [f"v{rng.randrange(100_000)}" for _ in range(size)]
+        for rate in (0, 0, 0.03, 0.06, 0.1, 0.15, 0.2, 0.25):
+            texts += [" ".join(x if rng.random() >= rate else f"e{rng.randrange(100_000)}" for x in w) for _ in range(4)]
+    sets = [_grams(t) for t in texts]
+    want = {
+        i: len({t for t in sets if t != s and len(s & t) >= ngram_join.THRESHOLD * len(s | t)}) for i, s in enumerate(sets)
+    }
+    got = ngram_join.join(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    assert {r["doc_id"]: r["links"] for r in got if r["links"]} == {i: n for i, n in want.items() if n} and max(want.values()) > 10
+
+
+def test_a_hot_n_gram_loses_no_pair(monkeypatch):
+    """One n-gram of 300 sets, in runs of few pairs."""
+    monkeypatch.setattr(ngram_join, "PAIRS", 1000)
+    size = np.arange(300) % 5 + 3
+    node = np.arange(300, dtype=np.int64) * 7 - 900
+    pairs = [p for a, b in ngram_join.meet(np.zeros(300, np.uint32), node, size, np.zeros(300, np.int64), 0.5) for p in zip(a.tolist(), b.tolist())]
+    want = {(x, y) for i, x in enumerate(node.tolist()) for j, y in enumerate(node.tolist()) if i < j and 2 * min(size[i], size[j]) >= max(size[i], size[j])}
+    assert set(pairs) == want and len(want) > 30_000
+
+
 def test_hot_buckets_give_the_same_links(spark, monkeypatch):
     rows = spark.range(3000).selectExpr("id % 3 AS bucket", "id AS node")
     want = {(r["bucket"], r["node"], r["first"]) for r in C.meeting(rows, lambda d: d).collect()}
