@@ -345,6 +345,19 @@ def test_a_hot_n_gram_loses_no_pair(monkeypatch):
     assert set(pairs) == want and len(want) > 30_000
 
 
+def test_set_tables_are_small_and_not_shuffled_again(spark, monkeypatch):
+    """Sets without a chance aren't kept, and no pair is verified with a shuffle of all sets."""
+    kept = []
+    cut_by = C.cut_by
+    monkeypatch.setattr(C, "cut_by", lambda df, key: kept.append((key, cut_by(df, key))) or kept[-1][1])
+    monkeypatch.setattr(C, "drop_cut", lambda df: None)
+    alone = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(50)]
+    alike = [" ".join(f"v{j}" for j in range(i, i + 30)) for i in range(3)]
+    got = ngram_join.join(spark.createDataFrame(list(enumerate(alone + alike)), DOCS)).collect()
+    assert {(r["doc_id"], r["class_id"], r["links"]) for r in got} == {(i, 50, 2) for i in (50, 51, 52)}
+    assert [key for key, _ in kept] == ["pack"] and kept[0][1].count() == 3
+
+
 def test_hot_buckets_give_the_same_links(spark, monkeypatch):
     rows = spark.range(3000).selectExpr("id % 3 AS bucket", "id AS node")
     want = {(r["bucket"], r["node"], r["first"]) for r in C.meeting(rows, lambda d: d).collect()}
