@@ -345,6 +345,32 @@ def test_a_hot_n_gram_loses_no_pair(monkeypatch):
     assert set(pairs) == want and len(want) > 30_000
 
 
+def test_a_pair_comes_from_few_partitions():
+    """30 near copies that share most of 200 n-grams, which lie in 64 partitions: every pair arises, few do so twice."""
+    rng = np.random.default_rng(3)
+    every = rng.choice(1 << 32, 230, replace=False).astype(np.uint32)
+    sets = [every[np.sort(rng.choice(230, 200, replace=False))][:101] for _ in range(30)]
+    node, feat = np.repeat(np.arange(30), 101), np.concatenate(sets)
+    place = np.tile(np.arange(101), 30)
+    pairs = []
+    for i in range(64):
+        on = feat % 64 == i
+        names = np.unique(node[on])
+        heads = np.array([sets[k][: ngram_join.HEADS] for k in names]).reshape(-1, ngram_join.HEADS)
+        for a, b in ngram_join.meet(feat[on], node[on], np.full(on.sum(), 200), place[on], 0.5, heads):
+            pairs += zip(a.tolist(), b.tolist())
+    assert len(set(pairs)) == 435 and len(pairs) < 2 * 435
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(4)
+    dense = np.sort(rng.integers(0, 1 << 32, 1 << 19)).astype(np.uint64)
+    far = np.array([0, 0, 5, 1 << 16, 1 << 40, 1 << 62] + list(range((1 << 62) + 1, (1 << 62) + 100)), np.uint64)
+    for values in (dense, far, dense[:1], dense[:0], dense[::-1], np.array([7, 3], np.uint64)):
+        assert np.array_equal(ngram_join._decode(ngram_join._encode(values)), values)
+    assert len(ngram_join._encode(dense)) < 2.1 * len(dense)
+
+
 def test_set_tables_are_small_and_not_shuffled_again(spark, monkeypatch):
     """Sets without a chance aren't kept, and no pair is verified with a shuffle of all sets."""
     kept = []
