@@ -33,19 +33,29 @@ ROWS = 4
 THRESHOLD = 0.7
 #: Of the 40 minima of a pair this many must agree before it is compared.
 AGREE = 18
+#: Bytes of text hashed at once: the 64-bit shingles of so many lines stay in a core's cache.
+CACHED = 1 << 17
 _SPACES = " \t\n\r\x0b\f"
 
 _SEEDS = C.mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
 def shingles(cp: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all character shingles of concatenated lines (none empty), and n + 1 offsets into them."""
-    size = np.diff(off)
-    count = np.maximum(1, size - width + 1)
-    line, place = C.ranges(count)
-    start = off[:-1][line] + place
-    h = C.mix(C.rolling(C.mix(cp.astype(np.uint64) + np.uint64(1)), start, np.minimum(start + width, off[1:][line])))
-    return h, np.concatenate([[0], np.cumsum(count)])
+    """64-bit hashes of all character shingles of concatenated lines (none empty), and n + 1 offsets into them; a line
+    shorter than a shingle is filled up with zeros, which no character counts as."""
+    value = cp.astype(np.uint64) + np.uint64(1)
+    short = np.maximum(0, width - np.diff(off))
+    if short.any():
+        value = np.insert(value, np.repeat(off[1:], short), 0)
+        off = off + np.concatenate([[0], np.cumsum(short)])
+    n = max(0, len(value) - width + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(width):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += value[j : j + n]
+    inside = np.ones(len(value), bool)
+    inside[(off[1:, None] - np.arange(1, width)).ravel()] = False
+    return C.mix(h[inside[:n]]), np.concatenate([[0], np.cumsum(np.diff(off) - width + 1)])
 
 
 def quick_shingles(cp: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +105,7 @@ def signed(lines: DataFrame, width: int, n_bands: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in C.slices(whole, 1):
+            for b in C.slices(whole, 1, CACHED):
                 h, off = quick_shingles(*C.codes(b.column(1)), width)
                 keys = lanes(minhash(h, off, n_bands * ROWS)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x) for x in keys)], names=schema.names)
@@ -125,16 +135,19 @@ def jaccard(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
     Keys hold the pair's number above 44 bits of the shingle's hash, so one plain sort orders both at once.
     """
     n = len(a)
+    limits = np.arange(n + 1, dtype=np.uint64) << np.uint64(44)
     sides, sizes = [], []
     for col in (a, b):
-        h, off = shingles(*C.codes(col), width)
-        keys = np.sort((np.repeat(np.arange(n, dtype=np.uint64), np.diff(off)) << np.uint64(44)) | (h >> np.uint64(20)))
+        keys, off = shingles(*C.codes(col), width)
+        keys >>= np.uint64(20)
+        keys |= np.repeat(limits[:-1], np.diff(off))
+        keys.sort()
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
         sides.append(keys)
-        sizes.append(np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=n))
-    both = np.sort(np.concatenate(sides), kind="stable")
-    twice = both[1:][both[1:] == both[:-1]] >> np.uint64(44)
-    inter = np.bincount(twice.astype(np.int64), minlength=n)
+        sizes.append(np.diff(np.searchsorted(keys, limits)))
+    both = np.concatenate(sides)
+    both.sort()
+    inter = np.diff(np.searchsorted(both[1:][both[1:] == both[:-1]], limits))
     return inter / (sizes[0] + sizes[1] - inter)
 
 
@@ -152,7 +165,7 @@ def verified(pairs: DataFrame, lines: DataFrame, width: int, threshold: float, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in C.slices(whole, 2):
+            for b in C.slices(whole, 2, CACHED):
                 ok = pa.array(jaccard(b.column(2), b.column(3), width) >= threshold)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(ok)
 

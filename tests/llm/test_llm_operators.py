@@ -392,6 +392,24 @@ def test_hot_buckets_give_the_same_links(spark, monkeypatch):
     assert {(r["bucket"], r["node"], r["first"]) for r in C.meeting(rows, lambda d: d).collect()} == want and len(want) == 3000
 
 
+def test_buckets_meet_without_a_sort_of_rows(spark):
+    """Negative and large keys, repeated rows and buckets of one node; rows aren't shuffled and sorted one by one."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63) if i % 3 else i % 9 - 4, rng.randrange(-40, 40)) for i in range(2000)]
+    got = C.meeting(spark.createDataFrame(rows, "bucket long, node long"), lambda d: d)
+    held = {}
+    for bucket, node in rows:
+        held.setdefault(bucket, []).append(node)
+    want = sorted((b, v, min(have)) for b, have in held.items() if len(set(have)) > 1 for v in have)
+    assert sorted(tuple(r) for r in got.select("bucket", "node", "first").collect()) == want and len(want) > 500
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_short_lines_are_shingles_of_their_own():
+    a, b = ["ab", "ab", "abcdefgh", "ab\x00"], ["ab", "ab\x00", "abcdefg", "ab\x00"]
+    assert line_dedup.jaccard(pa.array(a), pa.array(b), 8).tolist() == [1, 0, 0, 1]
+
+
 def test_links_connect_all_that_meet_and_agree(spark, monkeypatch):
     """One bucket of 700 nodes in 7 kinds: those of one kind are similar."""
     monkeypatch.setattr(C, "_BLOCK", 16)
