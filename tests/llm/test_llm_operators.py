@@ -392,6 +392,24 @@ def test_hot_buckets_give_the_same_links(spark, monkeypatch):
     assert {(r["bucket"], r["node"], r["first"]) for r in C.meeting(rows, lambda d: d).collect()} == want and len(want) == 3000
 
 
+def test_prefixes_are_unpacked_in_ranges():
+    rng, rows, whole = np.random.default_rng(5), [], []
+    for k in range(6):
+        feat = np.sort(np.concatenate([rng.integers(0, 1 << 32, 900, np.uint64), np.full(100, 77, np.uint64)]))
+        number = rng.integers(0, 40, 1000).astype(np.uint16)
+        node, size, place = np.arange(40) + (k << 20), rng.integers(50, 70, 40), rng.integers(0, 9, 1000)
+        heads = rng.integers(0, 1 << 32, (40, ngram_join.HEADS)).astype(np.uint32)
+        rows.append((ngram_join._encode(feat), number.tobytes(), ngram_join._narrow(place).tobytes(), ngram_join._encode(node), ngram_join._narrow(size).tobytes(), heads.tobytes()))
+        whole += zip(feat.tolist(), node[number].tolist(), size[number].tolist(), place.tolist())
+    got = []
+    for feat, node, size, place, heads in ngram_join.spans(rows, 500):
+        assert (feat != 77).sum() <= 500 and (feat == 77).sum() in (0, 600)
+        assert len(heads) == len(np.unique(node))
+        got += zip(feat.tolist(), node.tolist(), size.tolist(), place.tolist())
+    assert sorted(got) == sorted(whole)
+    assert list(ngram_join.spans([], 500)) == []
+
+
 def test_buckets_meet_without_a_sort_of_rows(spark):
     """Negative and large keys, repeated rows and buckets of one node; rows aren't shuffled and sorted one by one."""
     rng = random.Random(6)
