@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from quire.functions import text as X
 from quire.functions.text import f
-from quire.plans.registry import SHARED, query, relation
+from quire.plans.dialect import SPARK
+from quire.plans.registry import query, relation
 
 TOKEN = r"[0-9A-Za-z\x{00C0}-\x{024F}\x{0400}-\x{04FF}\x{0600}-\x{06FF}]{2,}"
 STOPWORDS = sorted(
@@ -99,8 +100,11 @@ def page_alignment(d):
 
 def largest_table(d, s: str) -> str:
     """Rows of the largest run of pipe lines, within the row: lines become marks, runs of marks are measured."""
-    marks = d.join(d.map(X.lines(d, s), f"CASE WHEN {d.has('x', chr(94) + r'\s*\|.*\|\s*$')} OR {d.has('x', chr(94) + r'\s*\|\s*$')} THEN 't' ELSE ' ' END"), "''")
-    return f"coalesce({d.amax(d.map(d.split(marks, chr(39) + ' ' + chr(39)), 'length(x)'))}, 0)"
+    row = f"{d.has('x', chr(94) + r'\s*\|.*\|\s*$')} OR {d.has('x', chr(94) + r'\s*\|\s*$')}"
+    row = f"contains(x, '|') AND ({row})" if d.name == "spark" else row
+    marks = d.join(d.map(X.lines(d, s), f"CASE WHEN {row} THEN 't' ELSE ' ' END"), "''")
+    most = f"coalesce({d.amax(d.map(d.split(marks, chr(39) + ' ' + chr(39)), 'length(x)'))}, 0)"
+    return f"CASE WHEN contains({s}, '|') THEN {most} ELSE 0 END" if d.name == "spark" else most
 
 
 @relation
@@ -138,6 +142,16 @@ LEFT JOIN ({_met(d, '{blob}', 'file_id')}) AS m ON p.file_id = m.file_id
 LEFT JOIN ({_presence(d, pages, '{blob}')}) AS o ON p.file_id = o.file_id AND p.page_num = o.page_num WHERE p.in_src"""
 
 
+def side_columns(no: int) -> list[str]:
+    """A side's page with its measures: stripped length, score (of an extraction), pipe rows, largest table, heading."""
+    d = SPARK
+    conf = X.score_page(d, "coalesce(text, '')") if no == 2 else f(0.0)
+    rows = f"CASE WHEN contains(text, '|') THEN {d.count('text', PIPE_ROW)} ELSE 0 END"
+    measures = [f"length({X.strip(d, 'text')})", rows, largest_table(d, "text"), f"contains(text, '#') AND {d.has('text', HEADING)}"]
+    sc, rows, block, head = (f"coalesce({m}, {z})" for m, z in zip(measures, ("0", "0", "0", "false"), strict=True))
+    return ["file_id", "page_num", f"{no} AS side", "coalesce(text, '') AS text", f"cast({sc} AS BIGINT) AS sc", f"{conf} AS conf", f"cast({rows} AS BIGINT) AS n_rows", f"cast({block} AS BIGINT) AS block", f"{head} AS head"]
+
+
 @relation
 def page_verif(d):
     state = "CASE WHEN sc < 20 AND ec < 20 THEN 'blank' WHEN sc < 20 THEN 'unreadable' WHEN sc >= 200 AND ec < 20 AND recovered >= 0.5 THEN 'moved' WHEN sc >= 200 AND ec < 20 THEN 'drop' ELSE 'scored' END"
@@ -158,19 +172,41 @@ def page_verif(d):
     one, zero, rec = f(1.0), f(0.0), "round(recovered, 4)"
     ub = lambda scored, blank, drop: f"CASE kind WHEN 'blank' THEN {blank} WHEN 'drop' THEN {drop} ELSE {scored} END"
     fail = f"cov < {f(0.25)} AND alignment < {f(0.35)}"
+    kind = f"CASE WHEN sc < 20 THEN 'blank' WHEN sc >= 200 AND alignment < {f(0.15)} THEN 'drop' ELSE 'scored' END"
+    extra = f"concat(CASE WHEN alignment < {f(0.55)} THEN ',low_alignment' ELSE '' END, CASE WHEN hallu > {f(0.45)} THEN ',hallucination_risk' ELSE '' END)"
+    verdict = by(f"CASE WHEN {fail} THEN 'fail' WHEN all_flags <> '' THEN 'review' ELSE 'pass' END", blank="'pass'", unreadable="'unverifiable'", moved="'review'", drop="'fail'")
+    flagged = by("all_flags", blank="'blank_page'", unreadable="'source_no_text_layer'", moved="'content_off_page'", drop="'silent_drop'")
+    # name, what it is on a page of a document whose pages are aligned, what it is otherwise
+    cols = [
+        ("coverage", by("round(cov, 4)", blank=one, unreadable=one, moved=rec, drop=zero), ub("round(cov, 4)", one, zero)),
+        ("confidence", by("round(conf, 4)", blank=one, unreadable="conf", moved=rec, drop=zero), ub("round(conf, 4)", one, zero)),
+        ("alignment", by("round(alignment, 4)", blank=one, unreadable=zero, moved=rec, drop=zero), ub("round(alignment, 4)", one, "round(alignment, 4)")),
+        ("hallucination_risk", by("round(hallu, 4)", blank=zero, unreadable=zero, moved=zero, drop=zero), ub("round(hallu, 4)", zero, zero)),
+        ("silent_drop", "state = 'drop'", "kind = 'drop'"),
+        ("table_integrity", by("NOT (s_rows >= 2 AND e_rows < 2)", blank="true", unreadable="true", moved="true", drop="s_rows < 2"), ub("true", "true", "s_rows < 2")),
+        ("heading_integrity", by("NOT (s_head AND NOT e_head)", blank="true", unreadable="true", moved="true", drop="NOT s_head"), ub("true", "true", "NOT s_head")),
+        ("verdict", verdict, ub("CASE WHEN extra <> '' THEN 'review' ELSE 'pass' END", "'pass'", "'fail'")),
+        ("flags", flagged, ub("concat('unsegmented_extraction', extra)", "'blank_page,unsegmented_extraction'", "'silent_drop,unsegmented_extraction'")),
+    ]
+    if d.name == "spark":  # one pass over the pages of both kinds
+        both = ", ".join(f"CASE WHEN aligned THEN {a} ELSE {u} END AS {n}" for n, a, u in cols)
+        return f"""SELECT file_id, page_num, aligned AS page_aligned, sc AS source_chars, ec AS extracted_chars, {both}
+FROM (SELECT *, {all_} AS all_flags FROM (SELECT *, {state} AS state, CASE WHEN aligned THEN {cov} ELSE doc_cov END AS cov, {kind} AS kind, {extra} AS extra FROM {{compared}}) AS a) AS b"""
+    a = {n: f"{e} AS {n}" for n, e, _ in cols}
+    u = {n: e for n, _, e in cols}
     return f"""SELECT file_id, page_num, true AS page_aligned, cast(sc AS BIGINT) AS source_chars, cast(ec AS BIGINT) AS extracted_chars,
- {by('round(cov, 4)', blank=one, unreadable=one, moved=rec, drop=zero)} AS coverage, {by('round(conf, 4)', blank=one, unreadable='conf', moved=rec, drop=zero)} AS confidence,
- {by('round(alignment, 4)', blank=one, unreadable=zero, moved=rec, drop=zero)} AS alignment, {by('round(hallu, 4)', blank=zero, unreadable=zero, moved=zero, drop=zero)} AS hallucination_risk,
- state = 'drop' AS silent_drop, {by('NOT (s_rows >= 2 AND e_rows < 2)', blank='true', unreadable='true', moved='true', drop='s_rows < 2')} AS table_integrity,
- {by('NOT (s_head AND NOT e_head)', blank='true', unreadable='true', moved='true', drop='NOT s_head')} AS heading_integrity,
- {by(f"CASE WHEN {fail} THEN 'fail' WHEN all_flags <> '' THEN 'review' ELSE 'pass' END", blank="'pass'", unreadable="'unverifiable'", moved="'review'", drop="'fail'")} AS verdict,
- {by('all_flags', blank="'blank_page'", unreadable="'source_no_text_layer'", moved="'content_off_page'", drop="'silent_drop'")} AS flags
+ {a['coverage']}, {a['confidence']},
+ {a['alignment']}, {a['hallucination_risk']},
+ {a['silent_drop']}, {a['table_integrity']},
+ {a['heading_integrity']},
+ {a['verdict']},
+ {a['flags']}
 FROM (SELECT *, {all_} AS all_flags FROM (SELECT *, {state} AS state, {cov} AS cov FROM {{measured}}) AS a) AS b
-UNION ALL SELECT file_id, page_num, false, cast(sc AS BIGINT), cast(0 AS BIGINT), {ub('round(cov, 4)', one, zero)}, {ub('round(conf, 4)', one, zero)}, {ub('round(alignment, 4)', one, 'round(alignment, 4)')},
- {ub('round(hallu, 4)', zero, zero)}, kind = 'drop', {ub('true', 'true', 's_rows < 2')}, {ub('true', 'true', 'NOT s_head')},
- {ub("CASE WHEN extra <> '' THEN 'review' ELSE 'pass' END", "'pass'", "'fail'")}, {ub("concat('unsegmented_extraction', extra)", "'blank_page,unsegmented_extraction'", "'silent_drop,unsegmented_extraction'")}
-FROM (SELECT *, CASE WHEN sc < 20 THEN 'blank' WHEN sc >= 200 AND alignment < {f(0.15)} THEN 'drop' ELSE 'scored' END AS kind,
- concat(CASE WHEN alignment < {f(0.55)} THEN ',low_alignment' ELSE '' END, CASE WHEN hallu > {f(0.45)} THEN ',hallucination_risk' ELSE '' END) AS extra FROM {{unsegmented}}) AS u"""
+UNION ALL SELECT file_id, page_num, false, cast(sc AS BIGINT), cast(0 AS BIGINT), {u['coverage']}, {u['confidence']}, {u['alignment']},
+ {u['hallucination_risk']}, {u['silent_drop']}, {u['table_integrity']}, {u['heading_integrity']},
+ {u['verdict']}, {u['flags']}
+FROM (SELECT *, {kind} AS kind,
+ {extra} AS extra FROM {{unsegmented}}) AS u"""
 
 
 @query
@@ -215,8 +251,9 @@ def verify_unsegmented(d):
     """Each source page against the whole extraction of its document, by content presence."""
     pages = "(SELECT file_id, page_num, text AS src FROM {page}) AS q"
     whole = "(SELECT file_id, text AS ext FROM {ext_page}) AS r"
+    held = "SELECT * FROM {presence}" if d.name == "spark" else _presence(d, pages, whole)
     return f"""SELECT g.doc_id, g.chars, round(coalesce(a.recovered, 1), 6) AS alignment, g.chars >= 200 AND coalesce(a.recovered, 1) < {f(0.15)} AS silent_drop FROM {{graded}} AS g
-JOIN {{page}} AS p ON g.doc_id = p.doc_id LEFT JOIN ({_presence(d, pages, whole)}) AS a ON p.file_id = a.file_id AND p.page_num = a.page_num"""
+JOIN {{page}} AS p ON g.doc_id = p.doc_id LEFT JOIN ({held}) AS a ON p.file_id = a.file_id AND p.page_num = a.page_num"""
 
 
 @query
@@ -236,5 +273,3 @@ def doc_diff(d):
     return f"""SELECT doc_id, old_chars, new_chars, {d.size('a')} - {d.common('a', 'b')} AS removed_headings, {d.size('b')} - {d.common('a', 'b')} AS added_headings FROM (
 SELECT doc_id, cast(length(text) AS BIGINT) AS old_chars, cast(length({new}) AS BIGINT) AS new_chars, {heads('text')} AS a, {heads(new)} AS b FROM {{md_page}}) AS x"""
 
-
-SHARED.update(dict.fromkeys(("verify_pages", "verify_manifest", "verify_batch", "verify_summary"), ("paired",)))
