@@ -27,6 +27,8 @@ def table_line(d):
 def table_row(d):
     """Rows of pipe blocks; a block is an island of touching rows."""
     cut = d.sub("line", r"^\||\|$")
+    if d.name == "spark":  # a row's trimmed line is bounded by pipes
+        cut = "substring(line, 2, length(line) - 2)"
     return f"""SELECT doc_id, block, pos, line, {d.has('line', SEPARATOR)} AS separator, {d.map(d.split(cut, '|'), X.strip(d, 'x'))} AS cells FROM (
 SELECT doc_id, pos, line, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM {{table_line}} WHERE row) AS i"""
 

@@ -24,12 +24,21 @@ _WORDS = r"(?i)([a-z]{3,9})"
 
 @relation
 def kv_raw(d):
+    keep = f"length(key) >= 2 AND value <> '' AND {d.count('value', r'[|]')} < 2 AND NOT (key = upper(key) AND key <> lower(key) AND length(key) > 30)"
+    if d.name == "spark":  # one row a text until all patterns are met, so its key's partitioning holds for what follows
+        found = ", ".join(
+            f"transform({d.all('text', p)}, (m, i) -> named_struct('pattern', {no}, 'pos', cast(i AS BIGINT), 'key', {X.strip(d, d.group('m', p, 1))}, 'value', {X.strip(d, d.group('m', p, 2))}))"
+            for no, p in enumerate(PATTERNS)
+        )
+        kept = f"filter(concat({found}), x -> {keep.replace('key', 'x.key').replace('value', 'x.value')})"
+        placed = f"(SELECT doc_id, transform({kept}, x -> struct(x.pattern, x.pos, x.key, x.value, instr(text, x.key) AS place)) AS ms FROM {{invoice}}) AS t"
+        return f"SELECT doc_id, m.* FROM {d.explode(placed, 'doc_id', 'ms', 'm')} AS e"
     parts = []
     for no, p in enumerate(PATTERNS):
         e = d.explode(f"(SELECT doc_id, text, {d.all('text', p)} AS ms FROM {{invoice}}) AS t", "doc_id, text", "ms", "m", "pos")
         key, value = X.strip(d, d.group("m", p, 1)), X.strip(d, d.group("m", p, 2))
         parts.append(f"SELECT doc_id, {no} AS pattern, pos, {key} AS key, {value} AS value, text FROM {e} AS e")
-    return f"SELECT doc_id, pattern, pos, key, value, instr(text, key) AS place FROM ({' UNION ALL '.join(parts)}) AS u WHERE length(key) >= 2 AND value <> '' AND {d.count('value', r'[|]')} < 2 AND NOT (key = upper(key) AND key <> lower(key) AND length(key) > 30)"
+    return f"SELECT doc_id, pattern, pos, key, value, instr(text, key) AS place FROM ({' UNION ALL '.join(parts)}) AS u WHERE {keep}"
 
 
 @relation
@@ -51,8 +60,9 @@ def key_values_dedup(d):
     return f"SELECT file_id, doc_id, key, value FROM (SELECT {d.idiv('doc_id', '50')} AS file_id, doc_id, key, value, row_number() OVER (PARTITION BY {d.idiv('doc_id', '50')}, lower(key) ORDER BY doc_id, rank) AS r FROM {{kv}}) AS k WHERE r = 1"
 
 
-def _month(s: str) -> str:
-    return f"CASE substring(lower({s}), 1, 3) " + " ".join(f"WHEN '{m}' THEN {i + 1}" for i, m in enumerate(MONTHS)) + " END"
+def _month(d, s: str) -> str:
+    number = lambda x: f"CASE {x} " + " ".join(f"WHEN '{m}' THEN {i + 1}" for i, m in enumerate(MONTHS)) + " END"
+    return d.let(f"substring(lower({s}), 1, 3)", "mo_", number)
 
 
 def date(d, s: str, year: int = 2026) -> str:
@@ -62,9 +72,16 @@ def date(d, s: str, year: int = 2026) -> str:
     def one(p: str, y, m: int, day: int, word: bool, short: bool = False) -> str:
         yy = str(y) if isinstance(y, int) and y > 9 else num(d.group(s, p, y))
         yy = f"(2000 + {yy})" if short else yy
-        mm = _month(d.group(s, p, m)) if word else num(d.group(s, p, m))
+        mm = _month(d, d.group(s, p, m)) if word else num(d.group(s, p, m))
         dd = num(d.group(s, p, day))
-        return f"CASE WHEN {mm} BETWEEN 1 AND 12 AND {dd} BETWEEN 1 AND 31 AND {yy} BETWEEN 1900 AND 2100 THEN {d.try_date(yy, mm, dd)} END"
+        valid = lambda y_, m_, d_, then: f"CASE WHEN {m_} BETWEEN 1 AND 12 AND {d_} BETWEEN 1 AND 31 AND {y_} BETWEEN 1900 AND 2100 THEN {then} END"
+        if d.name != "spark":
+            return valid(yy, mm, dd, d.try_date(yy, mm, dd))
+        last = "CASE WHEN mm_ IN (4, 6, 9, 11) THEN 30 WHEN mm_ <> 2 THEN 31 WHEN yy_ % 4 = 0 AND (yy_ % 100 <> 0 OR yy_ % 400 = 0) THEN 29 ELSE 28 END"
+        iso = f"CASE WHEN dd_ <= {last} THEN concat(cast(yy_ AS STRING), '-', lpad(cast(mm_ AS STRING), 2, '0'), '-', lpad(cast(dd_ AS STRING), 2, '0')) END"
+        # each part is read once, and only where the pattern matches
+        parts = d.let(yy, "yy_", lambda y_: d.let(mm, "mm_", lambda m_: d.let(dd, "dd_", lambda d_: valid(y_, m_, d_, iso))))
+        return f"CASE WHEN {d.has(s, p)} THEN {parts} END"
 
     return (
         "coalesce("
