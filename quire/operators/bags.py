@@ -65,7 +65,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _out(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
-    kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
     fields = [x.split() for x in schema.split(", ")]
     held: list[tuple] = []
 

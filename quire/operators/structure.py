@@ -137,12 +137,13 @@ def heading_features(d):
 
 def counts(d, s: str) -> str:
     """Headings, list items, table rows, code fences and paragraph starts of a text, in one pass over its line marks."""
-    t = X.strip(d, "x")
-    kind = (
+    # every row of bars holds a bar, which Spark looks for first; a class of the line's trimmed text is the same in both
+    bars = lambda t: f"contains({t}, '|') AND {d.has(t, chr(92) + '|.*' + chr(92) + '|')}" if d.name == "spark" else d.has(t, r"\|.*\|")
+    kind = lambda t: (
         f"CASE WHEN {t} LIKE '#%' THEN 'h' WHEN {d.has(t, r'^[-*+]\s')} OR {d.has(t, r'^\d+\.\s')} THEN 'l'"
-        f" WHEN {d.has(t, r'\|.*\|')} THEN CASE WHEN {d.has(t, SEPARATOR)} THEN 's' ELSE 't' END WHEN {t} LIKE '```%' THEN 'c' WHEN {t} <> '' THEN 'p' ELSE ' ' END"
+        f" WHEN {bars(t)} THEN CASE WHEN {d.has(t, SEPARATOR)} THEN 's' ELSE 't' END WHEN {t} LIKE '```%' THEN 'c' WHEN {t} <> '' THEN 'p' ELSE ' ' END"
     )
-    marks = d.join(d.map(X.lines(d, s), kind), "''")
+    marks = d.join(d.map(X.lines(d, s), d.let(X.strip(d, "x"), "t_", kind)), "''")
     n = lambda k: f"cast({d.count('marks', k)} AS BIGINT)"
     return marks, {"headings": n("h"), "lists": n("l"), "table_rows": n("t"), "code_blocks": n("c"), "paragraphs": n("p+")}
 
@@ -163,15 +164,33 @@ def structure_score(d):
     return "SELECT doc_id, page_type, round(structure, 6) AS structure_preservation FROM {pair_structure}"
 
 
+def within(d) -> str:
+    """Agreement of the counts of a and b."""
+    part = lambda k: f"CASE WHEN b.{k} = 0 AND a.{k} = 0 THEN {f(1.0)} WHEN b.{k} = 0 THEN {f(0.5)} ELSE cast(least(a.{k}, b.{k}) AS DOUBLE) / greatest(a.{k}, b.{k}) END"
+    return f"({' + '.join(part(k) for k in counts(d, 'got')[1])}) / {f(5.0)}"
+
+
+def marked(d) -> str:
+    """Pairs with the counts a and b of both texts."""
+    (m1, c), (m2, _) = counts(d, "got"), counts(d, "truth")
+    both = (f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, ' + e.replace('marks', f'marks_{x}') for k, e in c.items())}) AS {x}" for x in "ab")
+    return f"SELECT *, {', '.join(both)} FROM (SELECT *, {m1} AS marks_a, {m2} AS marks_b FROM {{md_pair}}) AS m"
+
+
+def cell_text(d, col: str) -> str:
+    """All normalised table cells of a text, each after a bar (in Spark)."""
+    rows = d.filter(X.lines(d, col), f"contains(x, '|') AND {d.has('x', r'\|.*\|')} AND NOT {d.has('x', SEPARATOR)}")
+    cells = d.filter(d.split(d.join(rows, "'|'"), "|"), d.has("x", r"\S"))
+    return d.join(d.map(cells, f"concat('|', lower({d.sub(X.strip(d, 'x'), chr(92) + 's+', ' ')}))"), "''")
+
+
 @relation
 def pair_structure(d):
     m1, c = counts(d, "got")
     m2, _ = counts(d, "truth")
     cols = ", ".join(f"{e} AS {k}" for k, e in c.items())
-    part = lambda k: f"CASE WHEN b.{k} = 0 AND a.{k} = 0 THEN {f(1.0)} WHEN b.{k} = 0 THEN {f(0.5)} ELSE cast(least(a.{k}, b.{k}) AS DOUBLE) / greatest(a.{k}, b.{k}) END"
-    both = " + ".join(part(k) for k in c)
     sub = lambda m: f"(SELECT doc_id, page_type, {cols} FROM (SELECT doc_id, page_type, {m} AS marks FROM {{md_pair}}) AS q)"
-    return f"SELECT a.doc_id, a.page_type, ({both}) / {f(5.0)} AS structure FROM {sub(m1)} AS a JOIN {sub(m2)} AS b ON a.doc_id = b.doc_id"
+    return f"SELECT a.doc_id, a.page_type, {within(d)} AS structure FROM {sub(m1)} AS a JOIN {sub(m2)} AS b ON a.doc_id = b.doc_id"
 
 
 @query

@@ -51,3 +51,52 @@ def test_tokens_are_counted_within_pages(name, spark, sf):
     plan = _plan(catalogue.queries()[name](spark, sf))
     assert "InMemoryRelation" not in plan and "token" not in plan
     assert plan.count("MapInArrow") == 1
+
+
+def _slow(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edits_against_the_whole_table():
+    import random
+
+    from quire.operators import pairs
+
+    rng = random.Random(3)
+    for n in (0, 1, 2, 31, 64, 90):
+        for _ in range(25):
+            a = "".join(rng.choices("ab c", k=n))
+            b = list(a)
+            for _ in range(rng.randrange(12)):
+                b[rng.randrange(len(b) + 1) : rng.randrange(len(b) + 1)] = rng.choices("abx|", k=rng.randrange(3))
+            b = "".join(b)
+            assert pairs.edits(a, b) == pairs.edits(b, a) == _slow(a, b)
+
+
+@pytest.mark.parametrize("name", ["text_accuracy", "bench_overall", "structure_score", "table_f1"])
+def test_metrics_meet_in_one_pass(name, spark, sf):
+    plan = _plan(catalogue.queries()[name](spark, sf))
+    assert "levenshtein" not in plan
+    assert plan.count("Join") <= 1 + plan.count("Union")  # but for the items of an order
+
+
+@pytest.mark.parametrize("name", ["structure_score", "table_f1", "text_accuracy"])
+def test_repeated_pairs(name, spark, sf):
+    """A document that comes twice meets itself, as SQL has it."""
+    rows = [(1, "# a\n| x | y |\n- b", "# a\n| x | z |\n- b\nc", "tables"), (1, "w", "# q\n| x |", "tables"), (2, "word " * 1500, "word other " * 900, "digital"), (2, "other", "word " * 1200, "digital"), (3, "", "", "digital"), (4, None, None, "digital")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE md_pair (doc_id BIGINT, got VARCHAR, truth VARCHAR, page_type VARCHAR)")
+    con.executemany("INSERT INTO md_pair VALUES (?, ?, ?, ?)", rows)
+    given = spark.createDataFrame(rows, "doc_id long, got string, truth string, page_type string")
+    from quire.plans.dialect import DUCK
+
+    text = registry.statement(registry.QUERIES[name](DUCK), DUCK, registry.TABLES | {"md_pair"})
+    got = registry.run(name, spark, md_pair=given)
+    cols = sorted(got.columns)
+    a = sorted(repr(tuple(r)) for r in got.select(cols).collect())
+    assert a == sorted(map(repr, con.sql(f"SELECT {', '.join(cols)} FROM ({text}) AS q").fetchall()))
