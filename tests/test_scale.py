@@ -100,3 +100,17 @@ def test_repeated_pairs(name, spark, sf):
     cols = sorted(got.columns)
     a = sorted(repr(tuple(r)) for r in got.select(cols).collect())
     assert a == sorted(map(repr, con.sql(f"SELECT {', '.join(cols)} FROM ({text}) AS q").fetchall()))
+
+
+def test_heading_marks_at_other_letters_and_line_ends(spark):
+    from quire.plans.dialect import DUCK
+
+    lines = ["# Le la ére éa", "# Enä en ßa", "# nach der", "# a", "# Table 3\r", "# x = 5  y", "# Teil\u0085 = 4", "## 1234 \r", "# año", "# vor the\r"]
+    rows = [(2, "\n".join(lines)), (5, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE md_page (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO md_page VALUES (?, ?)", rows)
+    text = registry.statement(registry.QUERIES["heading_demote"](DUCK), DUCK, registry.TABLES | {"md_page"})
+    want = con.sql(f"SELECT doc_id, pos, line FROM ({text}) AS q").fetchall()
+    got = registry.run("heading_demote", spark, md_page=spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.select("doc_id", "pos", "line").collect())) == sorted(want)
