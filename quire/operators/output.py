@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from quire.functions import text as X
 from quire.functions.text import f
-from quire.plans.registry import query, relation
+from quire.plans.dialect import SPARK
+from quire.plans.registry import BUILT, query, relation
+
+from .structure import SEPARATOR
 
 
 @query
@@ -138,9 +141,29 @@ def separator_pages(d):
 UNION ALL SELECT file_id, 0, cast(length(body) AS BIGINT), md5(body) FROM (SELECT file_id, {d.listagg("replace(text, '---', '-')", nl, 'page_num')} AS body FROM {{page}} GROUP BY file_id) AS w WHERE file_id % 5 = 1"""
 
 
+@relation
+def cell_line(d):
+    """Where an order comes more than once (see ``whole_cell_line``), its rows of one place are one."""
+    cells = d.explode("(SELECT doc_id, block, pos, cells FROM {table_row} WHERE NOT separator) AS r", "doc_id, block, pos", "cells", "cell", "col")
+    return f"SELECT doc_id, pos, concat('| ', {d.listagg('cell', chr(39) + ' | ' + chr(39), 'col')}, ' |') AS line FROM {cells} AS c GROUP BY doc_id, pos HAVING cast(count(*) FILTER (WHERE cell <> '') AS DOUBLE) / count(*) >= {f(0.3)}"
+
+
+def whole_cell_line(sql):
+    if sql("SELECT doc_id FROM {table_text} GROUP BY doc_id HAVING count(*) > 1 LIMIT 1").head(1):
+        return None
+    cells = SPARK.map(SPARK.split("substring(line, 2, length(line) - 2)", "|"), X.strip(SPARK, "x"))
+    rows = f"SELECT doc_id, pos, {cells} AS cells FROM {{table_line}} WHERE row AND NOT {SPARK.has('line', SEPARATOR)}"
+    return sql(f"SELECT doc_id, pos, concat('| ', array_join(cells, ' | '), ' |') AS line FROM ({rows}) AS r WHERE cast(size(filter(cells, x -> x <> '')) AS DOUBLE) / size(cells) >= {f(0.3)}")
+
+
+BUILT["cell_line"] = whole_cell_line
+
+
 @query
 def cells_to_table(d):
     """Single cells (row, column, text) put back into pipe rows; rows with under 0.3 of their cells filled go."""
+    if d.name == "spark":
+        return "SELECT doc_id, pos, line FROM {cell_line}"
     cells = d.explode("(SELECT doc_id, block, pos, cells FROM {table_row} WHERE NOT separator) AS r", "doc_id, block, pos", "cells", "cell", "col")
     return f"SELECT doc_id, pos, concat('| ', {d.listagg('cell', chr(39) + ' | ' + chr(39), 'col')}, ' |') AS line FROM {cells} AS c GROUP BY doc_id, pos HAVING cast(count(*) FILTER (WHERE cell <> '') AS DOUBLE) / count(*) >= {f(0.3)}"
 
@@ -149,6 +172,13 @@ def cells_to_table(d):
 def ocr_cell_grid(d):
     """Recognised boxes to a grid: rows part at gaps over 25 points, columns at gaps over 80; grids of two columns and
     two rows or more with half of the cells filled."""
+    if d.name == "spark":  # windows of one order stand together, so that a page's boxes are sorted once for each
+        w = lambda c: f"PARTITION BY page_id ORDER BY {c}, box_id"
+        cut = lambda c, least, rel, keep: f"SELECT {keep}, sum(b) OVER ({w(c)} ROWS UNBOUNDED PRECEDING) AS {'r' if c == 'y0' else 'c'} FROM (SELECT *, CASE WHEN {c} - lag({c}) OVER ({w(c)}) > {least} THEN 1 ELSE 0 END AS b FROM {rel}) AS {c}_"
+        rows = cut("y0", 25, "(SELECT page_id, box_id, x0, y0 FROM {box} WHERE kind = 'text') AS t", "page_id, box_id, x0")
+        grid = cut("x0", 80, f"({rows}) AS g", "page_id, r")
+        return f"""SELECT page_id, n_rows, n_cols, round(cast(filled AS DOUBLE) / (n_rows * n_cols), 6) AS fill FROM (SELECT page_id, cast(max(r) + 1 AS BIGINT) AS n_rows, cast(max(c) + 1 AS BIGINT) AS n_cols, count(DISTINCT r * 1000 + c) AS filled FROM ({grid}) AS h GROUP BY page_id) AS k
+WHERE n_rows >= 2 AND n_cols >= 2 AND filled >= {f(0.5)} * n_rows * n_cols"""
     rows = "SELECT page_id, box_id, x0, y0, CASE WHEN y0 - lag(y0) OVER (PARTITION BY page_id ORDER BY y0, box_id) > 25 THEN 1 ELSE 0 END AS rb, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page_id ORDER BY x0, box_id) > 80 THEN 1 ELSE 0 END AS cb FROM {box} WHERE kind = 'text'"
     grid = f"SELECT page_id, box_id, sum(rb) OVER (PARTITION BY page_id ORDER BY y0, box_id ROWS UNBOUNDED PRECEDING) AS r, sum(cb) OVER (PARTITION BY page_id ORDER BY x0, box_id ROWS UNBOUNDED PRECEDING) AS c FROM ({rows}) AS g"
     return f"""SELECT page_id, n_rows, n_cols, round(cast(filled AS DOUBLE) / (n_rows * n_cols), 6) AS fill FROM (SELECT page_id, cast(max(r) + 1 AS BIGINT) AS n_rows, cast(max(c) + 1 AS BIGINT) AS n_cols, count(DISTINCT r * 1000 + c) AS filled FROM ({grid}) AS h GROUP BY page_id) AS k

@@ -166,13 +166,12 @@ def llm_score(d):
     """Score of a model's reading against the fast text: coherence, structure, completeness, consistency."""
     t = "e.text"
     n = f"length({t})"
-    words = d.filter(d.split_re(X.strip(d, t), d.ws + "+"), "x <> ''")
-    alpha = X.ratio(X.letters(d, t), n)
-    mean = f"cast(length({X.dense(d, t)}) AS DOUBLE) / nullif({d.size(words)}, 0)"
-    coher = (
-        f"greatest({f(0.0)}, {f(1.0)} - CASE WHEN {n} = 0 THEN {f(0.0)} WHEN {alpha} < {f(0.3)} THEN {f(0.3)} WHEN {alpha} < {f(0.5)} THEN {f(0.15)} ELSE {f(0.0)} END"
-        f" - CASE WHEN {mean} < 2 OR {mean} > 20 THEN {f(0.2)} WHEN {mean} < 3 OR {mean} > 15 THEN {f(0.1)} ELSE {f(0.0)} END)"
+    alpha, mean = X.ratio(X.letters(d, t), n), X.word_length(d, t)
+    coherent = lambda al, me: (
+        f"greatest({f(0.0)}, {f(1.0)} - CASE WHEN {n} = 0 THEN {f(0.0)} WHEN {al} < {f(0.3)} THEN {f(0.3)} WHEN {al} < {f(0.5)} THEN {f(0.15)} ELSE {f(0.0)} END"
+        f" - CASE WHEN {me} < 2 OR {me} > 20 THEN {f(0.2)} WHEN {me} < 3 OR {me} > 15 THEN {f(0.1)} ELSE {f(0.0)} END)"
     )
+    coher = d.let(alpha, "al_", lambda al: d.let(mean, "me_", lambda me: coherent(al, me)))
     any_ = lambda c: f"CASE WHEN {d.size(d.filter(X.lines(d, t), c))} > 0 THEN 1 ELSE 0 END"
     marks = " + ".join(
         [
@@ -184,7 +183,7 @@ def llm_score(d):
         ]
     )
     fill = f"cast(length({X.strip(d, t)}) AS DOUBLE) / 1250"
-    comp = f"CASE WHEN {fill} = 0 THEN {f(0.0)} WHEN {fill} >= {f(0.8)} THEN {f(1.0)} WHEN {fill} >= {f(0.5)} THEN {f(0.85)} WHEN {fill} >= {f(0.2)} THEN {f(0.65)} WHEN {fill} >= {f(0.05)} THEN {f(0.4)} ELSE {f(0.2)} END"
+    comp = d.let(fill, "fi_", lambda x: f"CASE WHEN {x} = 0 THEN {f(0.0)} WHEN {x} >= {f(0.8)} THEN {f(1.0)} WHEN {x} >= {f(0.5)} THEN {f(0.85)} WHEN {x} >= {f(0.2)} THEN {f(0.65)} WHEN {x} >= {f(0.05)} THEN {f(0.4)} ELSE {f(0.2)} END")
     bag = lambda s: d.distinct(d.filter(d.all(f"lower({s})", r"[\p{L}\p{N}_]+"), "length(x) > 2"))
     return f"""SELECT doc_id, coherence, structure, completeness, consistency, CASE WHEN chars < 5 THEN {f(0.0)} WHEN fast_chars > 20 THEN
  round({f(0.3)} * coherence + {f(0.2)} * structure + {f(0.2)} * completeness + {f(0.3)} * consistency, 6) ELSE round({f(0.4)} * coherence + {f(0.3)} * structure + {f(0.3)} * completeness, 6) END AS score

@@ -17,30 +17,59 @@ def table_text(d):
     return f"SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN concat(text, {nl}, {nl}, {toc}) ELSE text END AS text FROM {{invoice}}"
 
 
-@relation
-def table_line(d):
+def lines_of(d, text: str) -> str:
     trimmed = X.strip(d, "line")
-    return f"SELECT doc_id, pos, {trimmed} AS line, {trimmed} LIKE '|%|' AND length({trimmed}) > 1 AS row FROM {d.explode('{table_text}', 'doc_id', X.lines(d, 'text'), 'line', 'pos')} AS e"
+    return f"SELECT doc_id, pos, {trimmed} AS line, {trimmed} LIKE '|%|' AND length({trimmed}) > 1 AS row FROM {d.explode(text, 'doc_id', X.lines(d, 'text'), 'line', 'pos')} AS e"
 
 
-@relation
-def table_row(d):
-    """Rows of pipe blocks; a block is an island of touching rows."""
+def rows_of(d, lines: str) -> str:
     cut = d.sub("line", r"^\||\|$")
     if d.name == "spark":  # a row's trimmed line is bounded by pipes
         cut = "substring(line, 2, length(line) - 2)"
     return f"""SELECT doc_id, block, pos, line, {d.has('line', SEPARATOR)} AS separator, {d.map(d.split(cut, '|'), X.strip(d, 'x'))} AS cells FROM (
-SELECT doc_id, pos, line, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM {{table_line}} WHERE row) AS i"""
+SELECT doc_id, pos, line, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM {lines} WHERE row) AS i"""
 
 
-@relation
-def table_block(d):
+def blocks_of(d, rows: str) -> str:
     last = d.at("cells", f"{d.size('cells')} - 1")
     number = d.has(last, r"^(\d{1,4}|[ivxlcIVXLC]+)$")
     return f"""SELECT doc_id, min(pos) AS first_line, count(*) AS n_lines, count(*) FILTER (WHERE NOT separator) - 1 AS data_rows,
  max({d.size('cells')}) AS n_cols, count(*) FILTER (WHERE {number} AND NOT separator) AS page_numbers,
  round(cast(count(*) FILTER (WHERE {d.size(d.filter('cells', "x <> ''"))} > 0 AND NOT separator) AS DOUBLE) / count(*), 6) AS filled
-FROM {{table_row}} GROUP BY doc_id, block HAVING count(*) >= 2"""
+FROM {rows} GROUP BY doc_id, block HAVING count(*) >= 2"""
+
+
+@relation
+def table_line(d):
+    return lines_of(d, "{table_text}")
+
+
+@relation
+def table_row(d):
+    """Rows of pipe blocks; a block is an island of touching rows."""
+    return rows_of(d, "{table_line}")
+
+
+@relation
+def table_block(d):
+    return blocks_of(d, "{table_row}")
+
+
+@relation
+def bare_page(d):
+    """Pages without a table."""
+    return f"SELECT doc_id FROM {{page}} AS p WHERE NOT {d.has('p.text', r'(?m)^[ \t]*\|.*\|[ \t]*$')}"
+
+
+@relation
+def overlay_row(d):
+    """Rows of those texts alone that a page may take."""
+    return rows_of(d, f"({lines_of(d, '(SELECT t.doc_id, t.text FROM {table_text} AS t LEFT SEMI JOIN {bare_page} AS b ON t.doc_id = b.doc_id) AS t')}) AS l")
+
+
+@relation
+def overlay_block(d):
+    return blocks_of(d, "{overlay_row}")
 
 
 @query
@@ -64,6 +93,9 @@ def csv_cells(d):
 def table_overlay(d):
     """Pages without a table take the non-contents tables of the other reading."""
     body = d.listagg("r.line", d.char(10), "r.pos")
+    if d.name == "spark":
+        return f"""SELECT p.doc_id, t.body FROM {{bare_page}} AS p JOIN (SELECT r.doc_id, {body} AS body FROM {{overlay_row}} AS r JOIN {{overlay_block}} AS b ON r.doc_id = b.doc_id AND r.pos >= b.first_line AND r.pos < b.first_line + b.n_lines
+ WHERE NOT (b.data_rows >= 8 AND b.n_cols <= 3 AND b.page_numbers > {f(0.6)} * b.data_rows) GROUP BY r.doc_id) AS t ON p.doc_id = t.doc_id"""
     return f"""SELECT p.doc_id, t.body FROM {{page}} AS p JOIN (SELECT r.doc_id, {body} AS body FROM {{table_row}} AS r JOIN {{table_block}} AS b ON r.doc_id = b.doc_id AND r.pos >= b.first_line AND r.pos < b.first_line + b.n_lines
  WHERE NOT (b.data_rows >= 8 AND b.n_cols <= 3 AND b.page_numbers > {f(0.6)} * b.data_rows) GROUP BY r.doc_id) AS t ON p.doc_id = t.doc_id WHERE NOT {d.has('p.text', r'(?m)^[ \t]*\|.*\|[ \t]*$')}"""
 

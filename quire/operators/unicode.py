@@ -6,8 +6,9 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +108,23 @@ def merged_headings(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "\n".join(merge_headings(x.split("\n"))))
 
 
+def _overlap(sets: list[frozenset[str]]) -> Callable[[frozenset[str]], np.ndarray]:
+    """The Jaccard overlap of a set with each of ``sets``, counted by the 4-grams that they share, not set by set."""
+    number = {g: i for i, g in enumerate(dict.fromkeys(g for s in sets for g in s))}
+    size = np.array([len(s) for s in sets], np.int64)
+    gram = np.fromiter((number[g] for s in sets for g in s), np.int64, int(size.sum()))
+    holder = np.repeat(np.arange(len(sets)), size)[np.argsort(gram, kind="stable")]
+    ends = np.append(0, np.cumsum(np.bincount(gram, minlength=len(number))))
+    empty = np.zeros(0, np.int64)
+
+    def run(b: frozenset[str]) -> np.ndarray:
+        met = [holder[ends[k] : ends[k + 1]] for k in (number[g] for g in b if g in number)]
+        both = np.bincount(np.concatenate([*met, empty]), minlength=len(sets))
+        return both / (len(b) + size - both)
+
+    return run
+
+
 def reorder(blocks: list[str], paragraphs: list[str], least: float = 0.3, matched: float = 0.4) -> list[int]:
     """Order of paragraphs by the order of blocks: each block takes its best unused paragraph by 4-gram overlap; with
     too few matches the order stays."""
@@ -115,13 +133,30 @@ def reorder(blocks: list[str], paragraphs: list[str], least: float = 0.3, matche
         s = re.sub(r"\s+", " ", re.sub(r"[*#|]", "", s)).strip().lower()
         return {s[i : i + 4] for i in range(max(1, len(s) - 3))}
 
-    sets, used, order = [grams(p) for p in paragraphs], set(), []
-    for b in map(grams, blocks):
-        best, at = least, -1
-        for i, p in enumerate(sets):
-            j = len(b & p) / len(b | p) if b | p else 0.0
-            if i not in used and j > best:
-                best, at = j, i
+    made: dict[str, frozenset[str]] = {}
+
+    def of(x: str) -> frozenset[str]:
+        if x not in made:
+            made[x] = frozenset(grams(x))
+        return made[x]
+
+    sets, used, order = [of(p) for p in paragraphs], set(), []
+    alike: dict[frozenset[str], list[int]] = {}
+    for i in range(len(sets) - 1, -1, -1):
+        alike.setdefault(sets[i], []).append(i)
+    overlap = None
+    for block in blocks:
+        same, at = alike.get(of(block), ()), -1
+        while same and same[-1] in used:
+            same.pop()
+        if same and least < 1:
+            at = same.pop()  # nothing overlaps more than an equal one
+        elif not same:
+            overlap = overlap or _overlap(sets)
+            share = np.where([i in used for i in range(len(sets))], -1.0, overlap(of(block)))
+            best = int(share.argmax()) if len(share) else -1
+            if best >= 0 and share[best] > least:
+                at = best
         if at >= 0:
             used.add(at)
             order.append(at)

@@ -114,3 +114,49 @@ def test_heading_marks_at_other_letters_and_line_ends(spark):
     want = con.sql(f"SELECT doc_id, pos, line FROM ({text}) AS q").fetchall()
     got = registry.run("heading_demote", spark, md_page=spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.select("doc_id", "pos", "line").collect())) == sorted(want)
+
+
+def _one_by_one(blocks, paragraphs, least=0.3, matched=0.4):
+    import re
+
+    def grams(s):
+        s = re.sub(r"\s+", " ", re.sub(r"[*#|]", "", s)).strip().lower()
+        return {s[i : i + 4] for i in range(max(1, len(s) - 3))}
+
+    used, order = set(), []
+    for b in map(grams, blocks):
+        best, at = least, -1
+        for i, p in enumerate(map(grams, paragraphs)):
+            j = len(b & p) / len(b | p)
+            if i not in used and j > best:
+                best, at = j, i
+        if at >= 0:
+            used.add(at)
+            order.append(at)
+    if not blocks or len(order) < matched * len(blocks):
+        return list(range(len(paragraphs)))
+    return order + [i for i in range(len(paragraphs)) if i not in used]
+
+
+def test_reorder_compares_no_pairs_of_equal_texts(monkeypatch):
+    import random
+
+    from quire.operators import unicode
+
+    rng = random.Random(8)
+    for n in (0, 1, 4, 9, 30):
+        for least in (0.0, 0.3, 1.0):
+            ps = [" ".join(rng.choices(["ha", "ab", "common", "words", "*x*", ""], k=rng.randrange(7))) for _ in range(n)]
+            bs = [p if rng.random() < 0.6 else p + " ha" for p in rng.sample(ps, len(ps))]
+            assert unicode.reorder(bs, ps, least) == _one_by_one(bs, ps, least)
+    monkeypatch.setattr(unicode, "_overlap", None)  # which equal texts don't need
+    ps = [f"paragraph {i} of its own {i * 7919}" for i in range(3000)]
+    assert unicode.reorder(ps[::-1], ps) == list(range(2999, -1, -1))
+
+
+@pytest.mark.parametrize("name,most", [("ocr_cell_grid", 3), ("table_overlay", 3)])
+def test_grids_are_sorted_once_an_order(name, most, spark, sf):
+    df = catalogue.queries()[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- Sort [page_id") <= most
+    assert name != "table_overlay" or "LeftSemi" in _plan(df)
