@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,15 +32,37 @@ def bag(text: str) -> Counter:
     return Counter(" ".join(_TOKEN.findall(text)).lower().split())
 
 
-def content(words: Counter) -> Counter:
-    return Counter({w: n for w, n in words.items() if w not in _STOP})
+def content(words: dict[str, int]) -> dict[str, int]:
+    stop = _STOP.intersection(words)
+    if stop:
+        words = dict(words)
+        for w in stop:
+            del words[w]
+    return words
 
 
-def common(a: Counter, b: Counter, x: int = 1, y: int = 1) -> int:
+def total(words: dict[str, int]) -> int:
+    return sum(words.values())
+
+
+def common(a: dict[str, int], b: dict[str, int], x: int = 1, y: int = 1) -> int:
     """Tokens of x times a that y times b holds."""
-    if len(b) < len(a):
-        a, b, x, y = b, a, y, x
-    return sum(min(x * n, y * b[w]) for w, n in a.items() if w in b)
+    if a is b and x == y:
+        return x * total(a)
+    out = 0
+    for w in a.keys() & b.keys():
+        n, m = x * a[w], y * b[w]
+        out += n if n < m else m
+    return out
+
+
+def merged(bags: list[dict[str, int]]) -> dict[str, int]:
+    if len(bags) == 1:
+        return bags[0]
+    out: Counter = Counter()
+    for x in bags:
+        out.update(x)
+    return out
 
 
 def score(text: str) -> float:
@@ -93,17 +116,22 @@ def _passed(sides: DataFrame, keys: list[str], f: Callable[[Iterator[tuple]], It
 def page_counts(rows: Iterator[tuple]) -> Iterator[tuple]:
     """(file_id, page_num, n_src, n_ext, n_both) of each page with tokens. Where a page comes more than once, each of its
     rows meets each of the other side; rows without number meet none and count as one page."""
-    for (file_id, page_num), page in groupby(rows, lambda r: r[:2]):
-        bags, n, last = (Counter(), Counter()), [0, 0], None
-        for _, _, side, text in page:
-            if last is None or last[0] != text:
-                last = text, content(bag(text))
-            bags[side - 1].update(last[1])
+    for (file_id, page_num), page in groupby(rows, itemgetter(0, 1)):
+        bags, n, text, words = [{}, {}], [0, 0], None, {}
+        for _, _, side, now in page:
+            if now != text:
+                text, words = now, content(bag(now))
+            if n[side - 1] == 0:
+                bags[side - 1] = words
+            else:  # the first bag may be the other side's too
+                bags[side - 1] = Counter(bags[side - 1]) if n[side - 1] == 1 else bags[side - 1]
+                bags[side - 1].update(words)
             n[side - 1] += 1
+        a, b = bags
         x, y = (1, 1) if file_id is None or page_num is None else (max(1, n[1]), max(1, n[0]))
-        s, e = x * bags[0].total(), y * bags[1].total()
+        s, e = x * total(a), y * total(b)
         if s or e:
-            yield file_id, page_num, s, e, common(*bags, x, y)
+            yield file_id, page_num, s, e, s if a is b and x == y else common(a, b, x, y)
 
 
 @built
@@ -117,7 +145,7 @@ def token_match(sql) -> DataFrame:
 # ~~ presence
 def page_presence(rows: Iterator[tuple]) -> Iterator[tuple]:
     """(file_id, page_num, recovered): the share of each page's tokens that its document's extraction holds."""
-    for file_id, doc in groupby(rows, lambda r: r[0]):
+    for file_id, doc in groupby(rows, itemgetter(0)):
         pages: dict[int | None, Counter] = {}
         whole: Counter = Counter()
         for _, page_num, side, text in doc:
@@ -127,7 +155,7 @@ def page_presence(rows: Iterator[tuple]) -> Iterator[tuple]:
                 whole.update(bag(text))
         for page_num, words in pages.items():
             if words:
-                yield file_id, page_num, common(words, whole) / words.total()
+                yield file_id, page_num, common(words, whole) / total(words)
 
 
 @built
@@ -151,7 +179,7 @@ _NONE = ("", 0, 0.0, 0, 0, False)
 
 def document_pages(rows: Iterator[tuple]) -> Iterator[tuple]:
     """A row for each page of ``verify.measured``, or of ``verify.unsegmented`` where the page counts of both sides differ."""
-    for file_id, doc in groupby(rows, lambda r: r[0]):
+    for file_id, doc in groupby(rows, itemgetter(0)):
         sides: tuple[dict, dict] = {}, {}
         for _, page_num, side, *have in doc:
             sides[side - 1].setdefault(page_num, []).append(have)
@@ -162,9 +190,9 @@ def document_pages(rows: Iterator[tuple]) -> Iterator[tuple]:
                 pairs += [(page_num, x, None) for x in s] + [(page_num, None, y) for y in e]
             else:
                 pairs += [(page_num, x, y) for x in s or [None] for y in e or [None]]
-        made: dict[str, tuple[Counter, Counter]] = {}
+        made: dict[str, tuple[dict, dict]] = {}
 
-        def words(have, k: int) -> Counter:
+        def words(have, k: int) -> dict[str, int]:
             text = have[0] if have else ""
             if text not in made:
                 made[text] = (whole := bag(text)), content(whole)
@@ -189,9 +217,9 @@ def _measured(file_id, pairs, words) -> Iterator[tuple]:
         page = list(page)
         n_src = n_ext = n_both = 0
         if page_num is not None:
-            a, b = (words(page[0][k], 1) if len(page) == 1 else sum((words(p[k], 1) for p in page), Counter()) for k in (1, 2))
-            n_src, n_ext, n_both = a.total(), b.total(), (a.total() if a is b else common(a, b))
-        recovered = common(lost[page_num], whole) / lost[page_num].total() if lost.get(page_num) else None
+            a, b = (merged([words(p[k], 1) for p in page]) for k in (1, 2))
+            n_src, n_ext, n_both = total(a), total(b), common(a, b)
+        recovered = common(lost[page_num], whole) / total(lost[page_num]) if lost.get(page_num) else None
         align, hallu = n_both / n_src if n_src else 1.0, (n_ext - n_both) / n_ext if n_ext >= 12 else 0.0
         for _, x, y in page:
             _, sc, _, s_rows, s_block, s_head = x or _NONE
@@ -208,11 +236,11 @@ def _unsegmented(file_id, pairs, words) -> Iterator[tuple]:
         bags[1].update(words(y, 1))
         bags[2].update(words(y, 0))
         lost.setdefault(page_num, Counter()).update(words(x, 1))
-    n_ext, n_both = bags[1].total(), common(bags[0], bags[1])
+    n_ext, n_both = total(bags[1]), common(bags[0], bags[1])
     hallu = (n_ext - n_both) / n_ext if n_ext >= 12 else 0.0
     sc, ec = len(src.strip(SPACE)), len(ext.strip(SPACE))
     cov, conf = min(1.0, ec / sc) if sc else 1.0, score(ext) if ec else 0.0
-    share = {p: common(w, bags[2]) / w.total() for p, w in lost.items() if w and p is not None}
+    share = {p: common(w, bags[2]) / total(w) for p, w in lost.items() if w and p is not None}
     for page_num, x, _ in pairs:
         if x is not None:
             _, sc, _, s_rows, _, s_head = x

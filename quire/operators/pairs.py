@@ -64,7 +64,7 @@ def accuracy(g: str | None, t: str) -> float | None:
 
 def overlap(a: Counter, b: Counter) -> float | None:
     both = bags.common(a, b)
-    most = a.total() + b.total() - both
+    most = bags.total(a) + bags.total(b) - both
     return both / most if most else None
 
 
@@ -123,7 +123,7 @@ def pair_structure(sql) -> DataFrame | None:
 
 def _cells(got: str | None, truth: str | None) -> tuple[int, int, int]:
     a, b = (Counter(x.split("|")[1:] if x else ()) for x in (got, truth))
-    return a.total(), b.total(), bags.common(a, b)
+    return bags.total(a), bags.total(b), bags.common(a, b)
 
 
 def _counted(rows: Iterator[tuple]) -> Iterator[tuple]:
